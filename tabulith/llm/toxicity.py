@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import id_text
+from tabulith.llm.common import id_text, staged
 
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5, 6)
 #: At most so many labelled documents of class 0 and 1 are learnt from, those of the smallest hash.
-MAX_PER_CLASS = (6000, 3000)
+MAX_PER_CLASS = (12000, 6000)
 THRESHOLD = 0.7
 #: Buckets whose log-likelihood ratio with the label is below this say nothing and weigh nothing.
 LEAST_RATIO = 12.0
@@ -60,10 +60,9 @@ class Buckets(dict):
 
 
 def text_buckets(text: str, cache: Buckets) -> np.ndarray:
+    """The n-grams of the distinct words of a text, one after another."""
     words = set(WORD.findall(text.lower()))
-    if not words:
-        return np.empty(0, np.int32)
-    return np.unique(np.concatenate([cache[w] for w in sorted(words)]))
+    return np.concatenate([cache[w] for w in sorted(words)]) if words else np.empty(0, np.int32)
 
 
 class SubwordModel:
@@ -73,38 +72,51 @@ class SubwordModel:
         self.weight, self.share, self.bias, self.scale = weight, share, bias, scale
 
     def score(self, buckets: np.ndarray) -> float:
-        z = self.bias
-        if len(buckets):
-            s = self.share[buckets]
-            z += self.scale * float((self.weight[buckets] * s).sum()) / (float(s.sum()) + SMOOTH)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        s = self.share[buckets]
+        return self.of_sums(float((self.weight[buckets] * s).sum()), float(s.sum()))
 
+    def of_sums(self, top: float, low: float) -> float:
+        z = self.bias + self.scale * top / (low + SMOOTH)
+        return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
-def informativeness(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+
+class WordSums(dict):
+    """Word -> what it adds to both sums of a text's average, None if nothing; forgets when large."""
+
+    def __init__(self, model: SubwordModel):
+        super().__init__()
+        self.share, self.weighted = model.share, model.share * model.weight
+
+    def __missing__(self, word: str) -> tuple[float, float] | None:
+        if len(self) > 400_000:
+            self.clear()
+        ids = word_buckets(word)
+        low = float(self.share[ids].sum())
+        self[word] = got = (float(self.weighted[ids].sum()), low) if low else None
+        return got
+
+
+def informativeness(pos_df: np.ndarray, all_df: np.ndarray, pos: int, n: int) -> np.ndarray:
     """Supervised term weight of each bucket: the root of its log-likelihood ratio with the label, or 0.
 
     Averaging with these weights keeps a few telling words from drowning in a long text.
     """
-    n, pos = len(docs), float(labels.sum())
-    hit = np.concatenate([np.empty(0, np.int32), *(d for d, v in zip(docs, labels, strict=True) if v)])
-    a = np.bincount(hit, minlength=BUCKETS).astype(np.float64)
-    seen = np.bincount(np.concatenate(docs), minlength=BUCKETS).astype(np.float64)
+    a, seen = pos_df.astype(np.float64), all_df.astype(np.float64)
     g = np.zeros(BUCKETS)
     for got, rows, cols in ((a, pos, seen), (seen - a, n - pos, seen), (pos - a, pos, n - seen), (n - pos - seen + a, n - pos, n - seen)):
-        want = rows * cols / n
+        want = rows * cols / max(n, 1)
         g += np.where(got > 0, 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(want, 1e-9)), 0)
     return np.where((g >= LEAST_RATIO) & (seen >= max(3, n * LEAST_SHARE)), np.sqrt(np.maximum(g, 0)), 0).astype(np.float32)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 14, seed: int = 7, rate: float = 0.02, decay: float = 1e-5) -> SubwordModel:
-    """Trains embeddings and softmax together; buckets are weighted by their rarity."""
+def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, epochs: int = 14, seed: int = 7, rate: float = 0.02, decay: float = 1e-5) -> SubwordModel:
+    """Trains embeddings and softmax together; docs hold buckets of positive share only."""
     n, y = len(docs), labels.astype(np.float32)
     pos = float(y.sum())
     prior = np.log((pos + 0.5) / (n - pos + 0.5))
     zero = np.zeros(BUCKETS, np.float32)
     if not n or pos in (0, n):
         return SubwordModel(zero, zero, float(prior), 0.0)
-    share = informativeness(docs, labels)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -112,20 +124,19 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 14, seed: int
     m1, m2 = np.zeros_like(emb), np.zeros_like(emb)
     s1, s2, b1, b2 = np.zeros_like(soft), np.zeros_like(soft), np.zeros_like(bias), np.zeros_like(bias)
     scale, step, size = 4.0, 0, 32
-    kept = [d[share[d] > 0] for d in docs]
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, size):
             rows = order[at : at + size]
-            lens = np.array([len(kept[r]) for r in rows])
-            ids = np.concatenate([kept[r] for r in rows])
+            lens = np.array([len(docs[r]) for r in rows])
+            ids = np.concatenate([docs[r] for r in rows])
             owner = np.repeat(np.arange(len(rows)), lens)
             w = share[ids]
             total = np.bincount(owner, w, len(rows)).astype(np.float32)
             w = scale * w / (total + SMOOTH)[owner]
             used, back = np.unique(ids, return_inverse=True)
             x = np.zeros((len(rows), len(used)), np.float32)
-            x[owner, back] = w
+            np.add.at(x, (owner, back), w)
             e = emb[used]
             h = x @ e
             z = h @ soft + bias
@@ -158,32 +169,52 @@ def usable_labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def training_rows(documents: DataFrame, lab: DataFrame, max_per_class: tuple[int, int]) -> DataFrame:
-    """(toxic, buckets) of labelled documents, at most max_per_class of class 0 and 1."""
+def training_rows(spark: SparkSession, documents: DataFrame, lab: DataFrame, max_per_class: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, toxic) of labelled documents, at most max_per_class of class 0 and 1."""
     pick = [lab.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class[c]) for c in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # at most sum(max_per_class) rows
+    rows = id_text(documents).join(chosen, "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic")
+    return staged(spark, rows.repartition(16, "doc_id"), "labelled")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Buckets()
-        for b in batches:
-            packed = [text_buckets(t, cache).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2)], names=["doc_id", "buckets", "toxic"])
 
-    rows = id_text(documents).join(chosen, "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic")
-    return rows.mapInArrow(run, "doc_id long, buckets binary, toxic int")
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's document frequencies of all buckets, over toxic texts and over all."""
+    cache, df = Buckets(), np.zeros((2, BUCKETS), np.int32)
+    for b in batches:
+        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids = np.unique(text_buckets(text, cache))
+            df[1, ids] += 1
+            if toxic:
+                df[0, ids] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], names=["df"])
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_per_class: tuple[int, int] = MAX_PER_CLASS) -> SubwordModel:
+def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_per_class: tuple[int, int] = MAX_PER_CLASS) -> SubwordModel:
     """Fits on the sample, then moves the bias to the odds that the labels have as a whole."""
     lab = usable_labels(labels)
     every = {r["toxic"]: r["count"] for r in lab.groupBy("toxic").count().collect()}
-    got = sorted(((r[0], r[2], r[1]) for r in training_rows(documents, lab, max_per_class).collect()), key=lambda r: (r[0], r[2]))
+    rows = training_rows(spark, documents, lab, max_per_class)
+    df = np.zeros((2, BUCKETS), np.int64)
+    for r in rows.select("text", "toxic").mapInArrow(frequencies, "df binary").collect():
+        df += np.frombuffer(zlib.decompress(bytes(r[0])), np.int32).reshape(2, BUCKETS)
+    size = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = informativeness(df[0], df[1], size[1], size[0])
+    held = spark.sparkContext.broadcast(share)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Buckets()
+        for b in batches:
+            ids = [text_buckets(t, cache) for t in b.column(1).to_pylist()]
+            packed = [i[held.value[i] > 0].tobytes() for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2)], names=["doc_id", "buckets", "toxic"])
+
+    got = sorted(((r[0], r[2], bytes(r[1])) for r in rows.mapInArrow(told, "doc_id long, buckets binary, toxic int").collect()))
     y = np.array([r[1] for r in got], np.float32)
-    model = fit([np.frombuffer(bytes(r[2]), np.int32) for r in got], y)
+    model = fit([np.frombuffer(r[2], np.int32) for r in got], y, share)
     pos, neg = float(y.sum()), float(len(y) - y.sum())
     if pos and neg:
         model.bias += float(np.log(every.get(1, 1) / every.get(0, 1)) - np.log(pos / neg))
@@ -191,19 +222,26 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: tuple[int, int
 
 
 def scorer(spark: SparkSession, model: SubwordModel):
-    """A function for mapInArrow tasks: text -> score, exactly model.score(text_buckets(text))."""
+    """A function for mapInArrow tasks: text -> score, model.score(text_buckets(text)) up to rounding."""
     held = spark.sparkContext.broadcast((model.weight, model.share, model.bias, model.scale))
 
     def make():
-        m, cache = SubwordModel(*held.value), Buckets()
-        return lambda text: m.score(text_buckets(text, cache)) if text else m.score(np.empty(0, np.int32))
+        model = SubwordModel(*held.value)
+        sums, find = WordSums(model), WORD.findall
+
+        def score(text: str | None) -> float:
+            got = [x for x in map(sums.__getitem__, set(find(text.lower()))) if x] if text else []
+            got.sort()  # the same sum whatever the order of the set
+            return model.of_sums(sum(x[0] for x in got), sum(x[1] for x in got))
+
+        return score
 
     return make
 
 
 def score_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_per_class: tuple[int, int] = MAX_PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    make = scorer(spark, train(documents, labels, max_per_class))
+    make = scorer(spark, train(spark, documents, labels, max_per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
@@ -217,7 +255,7 @@ def score_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame
 
 def drop_toxic(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_per_class: tuple[int, int] = MAX_PER_CLASS) -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
-    make, at = scorer(spark, train(documents, labels, max_per_class)), documents.columns.index("text")
+    make, at = scorer(spark, train(spark, documents, labels, max_per_class)), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
