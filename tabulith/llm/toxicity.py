@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import id_text, staged
+from tabulith.llm.common import id_text, mix64, staged
 
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5, 6)
 #: At most so many labelled documents of class 0 and 1 are learnt from, those of the smallest hash.
-MAX_PER_CLASS = (12000, 6000)
+MAX_PER_CLASS = (6000, 3000)
+#: So many buckets at most have a weight: those that tell most.
+MOST_BUCKETS = 6000
 THRESHOLD = 0.7
 #: Buckets whose log-likelihood ratio with the label is below this say nothing and weigh nothing.
 LEAST_RATIO = 12.0
@@ -42,27 +44,35 @@ SMOOTH = 8.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_buckets(word: str) -> list[int]:
-    marked = f"<{word}>"
-    n = len(marked)
-    grams = {marked[i : i + k] for k in GRAMS for i in range(n - k + 1)} | {marked}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for g in sorted(grams)]
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of the character n-grams of marked words and of the words themselves, and whose they are.
 
-
-class Buckets(dict):
-    """Word -> its bucket ids as an array; forgets when large."""
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = got = np.array(word_buckets(word), np.int32)
-        return got
-
-
-def text_buckets(text: str, cache: Buckets) -> np.ndarray:
-    """The n-grams of the distinct words of a text, one after another."""
-    words = set(WORD.findall(text.lower()))
-    return np.concatenate([cache[w] for w in sorted(words)]) if words else np.empty(0, np.int32)
+    n-grams are hashed all at once: a polynomial over code points, scrambled.
+    """
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lens = np.array([len(m) for m in marked])
+    owner = np.repeat(np.arange(len(words)), lens)
+    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(codes))  # code points to the word's end
+    h, ids, who = codes.copy(), [], []
+    for k in range(2, max(GRAMS) + 1):
+        h = h[: len(codes) - k + 1] * np.uint64(0x100000001B3) + codes[k - 1 :]
+        if k in GRAMS:
+            at = np.flatnonzero(left[: len(h)] >= k)
+            ids.append(mix64(h[at] + np.uint64(k)))
+            who.append(owner[at])
+    import xxhash
+
+    ids.append(np.array([xxhash.xxh3_64_intdigest(m.encode("utf-8", "surrogatepass")) for m in marked], np.uint64))
+    who.append(np.arange(len(words)))
+    return (np.concatenate(ids) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(who)
+
+
+def text_buckets(text: str) -> np.ndarray:
+    """The buckets of the distinct words of a text, with repeats."""
+    return word_buckets(sorted(set(WORD.findall(text.lower()))))[0]
 
 
 class SubwordModel:
@@ -87,13 +97,17 @@ class WordSums(dict):
         super().__init__()
         self.share, self.weighted = model.share, model.share * model.weight
 
-    def __missing__(self, word: str) -> tuple[float, float] | None:
-        if len(self) > 400_000:
+    def learn(self, words: set[str]) -> None:
+        if len(self) + len(words) > 600_000:
             self.clear()
-        ids = word_buckets(word)
-        low = float(self.share[ids].sum())
-        self[word] = got = (float(self.weighted[ids].sum()), low) if low else None
-        return got
+        new = [w for w in words if w not in self]
+        ids, who = word_buckets(new)
+        told = self.share[ids] > 0
+        ids, who = ids[told], who[told]
+        top, low = np.bincount(who, self.weighted[ids], len(new)), np.bincount(who, self.share[ids], len(new))
+        self.update(dict.fromkeys(new))
+        for k in np.flatnonzero(low):
+            self[new[k]] = (float(top[k]), float(low[k]))
 
 
 def informativeness(pos_df: np.ndarray, all_df: np.ndarray, pos: int, n: int) -> np.ndarray:
@@ -106,10 +120,13 @@ def informativeness(pos_df: np.ndarray, all_df: np.ndarray, pos: int, n: int) ->
     for got, rows, cols in ((a, pos, seen), (seen - a, n - pos, seen), (pos - a, pos, n - seen), (n - pos - seen + a, n - pos, n - seen)):
         want = rows * cols / max(n, 1)
         g += np.where(got > 0, 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(want, 1e-9)), 0)
-    return np.where((g >= LEAST_RATIO) & (seen >= max(3, n * LEAST_SHARE)), np.sqrt(np.maximum(g, 0)), 0).astype(np.float32)
+    g[(g < LEAST_RATIO) | (seen < max(3, n * LEAST_SHARE))] = 0
+    if (g > 0).sum() > MOST_BUCKETS:
+        g[g < np.partition(g, -MOST_BUCKETS)[-MOST_BUCKETS]] = 0
+    return np.sqrt(g).astype(np.float32)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, epochs: int = 14, seed: int = 7, rate: float = 0.02, decay: float = 1e-5) -> SubwordModel:
+def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, epochs: int = 10, seed: int = 7, rate: float = 0.02, decay: float = 1e-5) -> SubwordModel:
     """Trains embeddings and softmax together; docs hold buckets of positive share only."""
     n, y = len(docs), labels.astype(np.float32)
     pos = float(y.sum())
@@ -179,10 +196,10 @@ def training_rows(spark: SparkSession, documents: DataFrame, lab: DataFrame, max
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's document frequencies of all buckets, over toxic texts and over all."""
-    cache, df = Buckets(), np.zeros((2, BUCKETS), np.int32)
+    df = np.zeros((2, BUCKETS), np.int32)
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids = np.unique(text_buckets(text, cache))
+            ids = np.unique(text_buckets(text))
             df[1, ids] += 1
             if toxic:
                 df[0, ids] += 1
@@ -206,10 +223,9 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_per_
     held = spark.sparkContext.broadcast(share)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Buckets()
         for b in batches:
-            ids = [text_buckets(t, cache) for t in b.column(1).to_pylist()]
-            packed = [i[held.value[i] > 0].tobytes() for i in ids]
+            ids = [text_buckets(t) for t in b.column(1).to_pylist()]
+            packed = [i[held.value[i] > 0].astype(np.int32).tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2)], names=["doc_id", "buckets", "toxic"])
 
     got = sorted(((r[0], r[2], bytes(r[1])) for r in rows.mapInArrow(told, "doc_id long, buckets binary, toxic int").collect()))
@@ -222,17 +238,24 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_per_
 
 
 def scorer(spark: SparkSession, model: SubwordModel):
-    """A function for mapInArrow tasks: text -> score, model.score(text_buckets(text)) up to rounding."""
+    """A function for mapInArrow tasks: texts -> scores, model.score(text_buckets(text)) up to rounding."""
     held = spark.sparkContext.broadcast((model.weight, model.share, model.bias, model.scale))
 
     def make():
         model = SubwordModel(*held.value)
         sums, find = WordSums(model), WORD.findall
 
-        def score(text: str | None) -> float:
-            got = [x for x in map(sums.__getitem__, set(find(text.lower()))) if x] if text else []
-            got.sort()  # the same sum whatever the order of the set
-            return model.of_sums(sum(x[0] for x in got), sum(x[1] for x in got))
+        def some(texts: list[str | None]) -> list[float]:
+            words = [set(find(t.lower())) if t else set() for t in texts]
+            sums.learn(set().union(*words))
+            out = []
+            for w in words:
+                got = sorted(x for x in map(sums.__getitem__, w) if x)  # the same sum whatever the order of the set
+                out.append(model.of_sums(sum(x[0] for x in got), sum(x[1] for x in got)))
+            return out
+
+        def score(texts: list[str | None]) -> list[float]:
+            return [x for k in range(0, len(texts), 400) for x in some(texts[k : k + 400])]
 
         return score
 
@@ -246,7 +269,7 @@ def score_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for b in batches:
-            s = pa.array([score(t) for t in b.column(1).to_pylist()], pa.float64())
+            s = pa.array(score(b.column(1).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), s], names=["doc_id", "score"])
 
     rows = id_text(documents).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
@@ -260,6 +283,6 @@ def drop_toxic(spark: SparkSession, documents: DataFrame, labels: DataFrame, max
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for b in batches:
-            yield b.filter(pa.array([score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([s < THRESHOLD for s in score(b.column(at).to_pylist())], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
