@@ -101,7 +101,7 @@ def shingles(words: list[bytes], hashes: WordHashes, width: int = 5) -> np.ndarr
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter((hashes[w] for w in words), np.uint64, n)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     if n < width:
         acc = np.full(1, 0x9E3779B97F4A7C15 + n, np.uint64)
         for k in range(n):

@@ -71,12 +71,14 @@ def described(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(SKETCH, np.int32)
         for b in batches:
-            fps, ns = [], []
+            fps, ns, cells = [], [], []
             for text in b.column(1):
                 s = shingles(words_of(text.as_py()), hashes)
-                np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                cells.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
                 fps.append(fingerprint(s))
                 ns.append(len(s))
+            if cells:
+                counts += np.bincount(np.concatenate(cells), minlength=SKETCH).astype(np.int32)
             m = len(fps)
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(m, pa.binary())], names=names)
         if counts.any():
