@@ -71,13 +71,12 @@ def anchors(templates: dict[str, str]) -> list[str]:
     out: set[str] = set()
     for text in templates.values():
         w = template_words(text)
-        k = len(w) - SHINGLE + 1
-        needed = int(k * (1 - CONTAINED) + 1e-9) + 1  # so many shingles cannot all be missing
-        spread = [round(i * (k - 1) / max(1, needed - 1)) for i in range(needed)] if needed > 1 else [k // 2]
-        for i in spread:
-            shingle = w[i : i + SHINGLE]
-            if not out & set(shingle):
-                out.add(max(shingle, key=len))
+        every = [w[i : i + SHINGLE] for i in range(len(w) - SHINGLE + 1)]
+        needed = int(len(every) * (1 - CONTAINED) + 1e-9) + 1  # so many shingles cannot all be missing
+        for word in sorted(set(w), key=lambda x: (x not in out, -len(x), x)):
+            if sum(bool(out & set(g)) for g in every) >= needed:
+                break
+            out.add(word)
     return sorted(out)
 
 
