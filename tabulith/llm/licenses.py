@@ -25,7 +25,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import id_text
+from tabulith.llm.common import id_text, shuffle_width, staged
 
 WIDTH, STEP, SHINGLE, BANDS = 12, 4, 5, 64
 CONTAINED = 0.8
@@ -116,8 +116,10 @@ def scan_licenses(spark: SparkSession, documents: DataFrame, templates: dict[str
     for a in anchors(templates):
         has = has | F.contains(low, F.lit(a))
     docs = id_text(documents).select(F.col("doc_id").cast("long"), "text").where(has)
-    docs = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(normalised(F.col("text")), " ").alias("w"))
-    docs = docs.select("doc_id", "row", shingle_hashes(F.col("w")).alias("sh"))
+    # Written between the steps: the optimiser would repeat the split for every word otherwise.
+    docs = staged(spark, docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(normalised(F.col("text")), " ").alias("w")), "license-words")
+    docs = staged(spark, docs.select("doc_id", "row", shingle_hashes(F.col("w")).alias("sh")), "license-shingles")
+    docs = docs.repartition(4 * shuffle_width(spark), "row")  # few bytes, much work
     longest = max(len(template_words(t)) for t in templates.values())
     cut = windows(docs, STEP).select(
         "doc_id", "row", "at", F.slice("sh", F.greatest(F.lit(1), F.col("at") + 1 - longest), 2 * longest + WIDTH).alias("around"), F.greatest(F.lit(0), F.col("at") - longest).alias("from"), signature(F.col("part")).alias("sig")
