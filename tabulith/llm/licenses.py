@@ -87,6 +87,8 @@ def shingle_hashes(words: F.Column) -> F.Column:
 
 
 def signature(hashes: F.Column) -> F.Column:
+    """The least value of each band's hash, which tells the band as well."""
+
     def least(band: int) -> F.Column:
         return F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(band))))
 
@@ -108,8 +110,8 @@ def scan_licenses(spark: SparkSession, documents: DataFrame, templates: dict[str
     known = spark.createDataFrame(sorted(templates.items()), "template_id string, body string")
     known = known.select("template_id", F.split(normalised(F.col("body")), " ").alias("w"))
     known = known.select("template_id", F.size("w").alias("words"), shingle_hashes(F.col("w")).alias("sh")).withColumn("wanted", F.array_distinct("sh"))
-    bands = windows(known, 1).select("template_id", F.posexplode(signature(F.col("part"))).alias("band", "value")).distinct()
-    bands = bands.groupBy("band", "value").agg(F.collect_set("template_id").alias("ids"))  # bounded by the templates given
+    bands = windows(known, 1).select("template_id", F.explode(signature(F.col("part"))).alias("key")).distinct()
+    bands = bands.groupBy("key").agg(F.collect_set("template_id").alias("ids"))  # bounded by the templates given
 
     low = F.lower("text")
     has = F.lit(False)
@@ -121,12 +123,16 @@ def scan_licenses(spark: SparkSession, documents: DataFrame, templates: dict[str
     docs = staged(spark, docs.select("doc_id", "row", shingle_hashes(F.col("w")).alias("sh")), "license-shingles")
     docs = docs.repartition(4 * shuffle_width(spark), "row")  # few bytes, much work
     longest = max(len(template_words(t)) for t in templates.values())
-    cut = windows(docs, STEP).select(
-        "doc_id", "row", "at", F.slice("sh", F.greatest(F.lit(1), F.col("at") + 1 - longest), 2 * longest + WIDTH).alias("around"), F.greatest(F.lit(0), F.col("at") - longest).alias("from"), signature(F.col("part")).alias("sig")
-    )
-    met = cut.select("doc_id", "row", "at", "around", "from", F.posexplode("sig").alias("band", "value"))
-    met = met.join(F.broadcast(bands), ["band", "value"])
-    met = met.select("doc_id", "row", "at", "around", "from", F.explode("ids").alias("template_id"))
+    # A window's bands travel without its shingles, which only the retrieved ones need.
+    keys = windows(docs, STEP).select("row", "at", F.explode(signature(F.col("part"))).alias("key"))
+    met = keys.join(F.broadcast(bands), "key").select("row", F.explode("ids").alias("template_id"), "at").distinct()
+    met = met.groupBy("row").agg(F.collect_list(F.struct("template_id", "at")).alias("hits"))  # bounded by the text's own windows
+
+    def place(h: F.Column) -> F.Column:
+        start = F.greatest(F.lit(0), h["at"] - longest)
+        return F.struct(h["template_id"].alias("template_id"), start.alias("from"), F.slice("sh", start + 1, 2 * longest + WIDTH).alias("around"))
+
+    met = docs.join(met, "row").select("doc_id", "row", F.explode(F.transform("hits", place)).alias("h")).select("doc_id", "row", "h.*")
     wanted = F.broadcast(known.select("template_id", "wanted"))
     hit = F.size(F.array_intersect("around", "wanted")) / F.size("wanted")
     first = F.array_min(F.filter(F.transform("wanted", lambda x: F.array_position("around", x)), lambda p: p > 0))
