@@ -11,7 +11,9 @@ Documents with equal sets are one node. All links between nodes are found, thoug
 are looked at: (1) in every group of nodes that share a prefix token each node is compared with
 the group's hub, the node in which the token stands earliest; (2) with the components of those
 links known, the pairs of a group that lie in different components are compared. A pair within
-one component cannot change the components.
+one component cannot change the components. Before a pair of step (2) is made, the parity bits
+of its two sets bound what they can have in common: sets whose bits differ in h places differ in
+h shingles at least, so no link is lost.
 
 Postings travel as compressed blocks per part of the token space. Tokens that more than
 `hot` documents hold are dealt over several parts by node; the hubs of those parts are compared
@@ -42,6 +44,8 @@ SKETCH = 1 << 20
 PART_POSTINGS = 2_000_000
 #: Documents of one token from which it is dealt over several parts.
 HOT = 1_000_000
+#: Parity bits of a node, by its size: two a shingle, within these bounds.
+BITS = (64, 2048)
 #: Comparisons of one hub in one task.
 HUB_SHARE = 5_000
 
@@ -61,31 +65,82 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
 
 
+def bit_width(n: int) -> int:
+    """Parity bits of a set of n shingles: a power of two."""
+    return min(BITS[1], max(BITS[0], 1 << (2 * n - 1).bit_length()))
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bit k tells whether an odd number of shingles falls on k."""
+    width = bit_width(len(s))
+    odd = np.bincount((s >> np.uint64(24)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+class ParityBound:
+    """Least number of shingles in which two nodes of a list differ, by their parity bits."""
+
+    def __init__(self, bits: list[bytes]):
+        lens = np.array([len(x) for x in bits], np.int64)
+        self.width = lens // 8  # in words of 64 bits
+        self.row = np.zeros(len(bits), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.rows[int(w)] = np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), int(w))
+
+    def folds(self, w: int, to: int) -> np.ndarray:
+        """Bits of width w as those of the narrower width `to`."""
+        if (w, to) not in self.folded:
+            rows = self.rows[w]
+            while rows.shape[1] > to:
+                half = rows.shape[1] // 2
+                rows = rows[:, :half] ^ rows[:, half:]
+            self.folded[w, to] = rows
+        return self.folded[w, to]
+
+    def apart(self, i: np.ndarray, j: np.ndarray, step: int = 100_000) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        wi, wj = self.width[i], self.width[j]
+        for a in np.unique(wi):
+            for b in np.unique(wj[wi == a]):
+                to = int(min(a, b))
+                x, y = self.folds(int(a), to), self.folds(int(b), to)
+                at = np.flatnonzero((wi == a) & (wj == b))
+                for k in range(0, len(at), step):
+                    p = at[k : k + step]
+                    out[p] = np.bitwise_count(x[self.row[i[p]]] ^ y[self.row[j[p]]]).sum(1, dtype=np.int64)
+        return out
+
+
 # ---- pass one: nodes and the sketch ---------------------------------------------------------
 
 
 def described(documents: DataFrame) -> DataFrame:
-    """kind 0: a document's node (fp, n); kind 1: a task's sketch of its shingles."""
-    names = ["kind", "doc_id", "fp", "n", "sketch"]
+    """kind 0: a document's node (fp, n, parity bits); kind 1: a task's sketch of its shingles."""
+    names = ["kind", "doc_id", "fp", "n", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(SKETCH, np.int32)
         for b in batches:
-            fps, ns, cells = [], [], []
+            fps, ns, cells, bits = [], [], [], []
             for text in b.column(1):
                 s = shingles(words_of(text.as_py()), hashes)
                 cells.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
                 fps.append(fingerprint(s))
                 ns.append(len(s))
+                bits.append(parity(s) if len(s) else None)
             if cells:
                 counts += np.bincount(np.concatenate(cells), minlength=SKETCH).astype(np.int32)
             m = len(fps)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(bits, pa.binary())], names=names)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
 
     rows = id_text(documents).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "kind int, doc_id long, fp long, n long, sketch binary")
+    return rows.mapInArrow(run, "kind int, doc_id long, fp long, n long, bits binary")
 
 
 def merged_sketch(stage: DataFrame) -> np.ndarray:
@@ -100,7 +155,7 @@ def merged_sketch(stage: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
 
-    rows = stage.where("kind = 1").select("sketch").mapInArrow(merge, "sketch binary")
+    rows = stage.where("kind = 1").select(F.col("bits").alias("sketch")).mapInArrow(merge, "sketch binary")
     parts = stage.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // 32)
@@ -278,7 +333,7 @@ def dealt_candidates(blocks: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def later_candidates(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a token's nodes that pass the bounds and lie in different components."""
+    """Pairs of a token's nodes that pass the bounds, the parity bits' too, and lie in different components."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,16 +348,18 @@ def later_candidates(blocks: DataFrame, labels: DataFrame) -> DataFrame:
             got = [unpack(x.as_py()) for x in left.column("block")]
             token, pos, fp, n = (np.concatenate([g[k] for g in got]) for k in range(4))
             nodes = np.stack([right.column(c).to_numpy() for c in ("fp", "n", "label")])
-            nodes = nodes[:, np.lexsort((nodes[1], nodes[0]))]
+            sort = np.lexsort((nodes[1], nodes[0]))
+            nodes, bound = nodes[:, sort], ParityBound(right.column("bits").take(pa.array(sort)).to_pylist())
             lo = np.searchsorted(nodes[0], fp)
             while True:  # equal fingerprints of different sizes are told apart
                 off = (nodes[0][np.minimum(lo, nodes.shape[1] - 1)] == fp) & (nodes[1][np.minimum(lo, nodes.shape[1] - 1)] != n)
                 if not off.any():
                     break
                 lo = lo + off
-            label = nodes[2][np.minimum(lo, nodes.shape[1] - 1)]
+            lo = np.minimum(lo, nodes.shape[1] - 1)
+            label = nodes[2][lo]
             order = np.lexsort((label, token))
-            token, pos, fp, n, label = token[order], pos[order], fp[order], n[order], label[order]
+            token, pos, fp, n, label, lo = token[order], pos[order], fp[order], n[order], label[order], lo[order]
             edge = runs(token)
             size = np.diff(edge)
             mixed = np.flatnonzero(label[edge[:-1]] != label[edge[1:] - 1])
@@ -319,6 +376,8 @@ def later_candidates(blocks: DataFrame, labels: DataFrame) -> DataFrame:
                     fits = possible(pos[x], n[x], pos[every], n[every]) & (label[x] != label[every])
                     i, j = np.nonzero(fits)
                     i, j = rest[k + i], every[j]
+                    fits = n[i] + n[j] - bound.apart(lo[i], lo[j]) >= 2 * least_common(n[i], n[j])
+                    i, j = i[fits], j[fits]
                     swap = (fp[i] > fp[j]) | (fp[i] == fp[j]) & (n[i] > n[j])
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     if len(i):
@@ -329,7 +388,7 @@ def later_candidates(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     held = blocks.where("kind = 1").select("part", "block")
     nodes = held.mapInArrow(members, "part long, fp long, n long").join(labels, ["fp", "n"])
     got = held.groupBy("part").cogroup(nodes.groupBy("part")).applyInArrow(cross, PAIR)
-    return got.union(dealt_candidates(blocks, labels)).distinct()
+    return got.union(dealt_candidates(blocks, labels.drop("bits"))).distinct()
 
 
 # ---- verification ---------------------------------------------------------------------------
@@ -397,11 +456,11 @@ def verified(spark: SparkSession, documents: DataFrame, pairs: DataFrame, nodes:
 def jaccard_components(spark: SparkSession, documents: DataFrame, part_postings: int = PART_POSTINGS, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     stage = staged(spark, described(documents), "nodes")
-    rows = stage.where("kind = 0").select("doc_id", "fp", "n")
+    rows = stage.where("kind = 0").select("doc_id", "fp", "n", "bits")
     prefixes = F.sum(F.when(F.col("n") > 0, prefix_column(F.col("n"))))
     total = rows.agg(F.count("*").alias("rows"), F.coalesce(prefixes, F.lit(0)).alias("postings")).first()
     sketch = spark.sparkContext.broadcast(merged_sketch(stage))
-    nodes = staged(spark, rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
+    nodes = staged(spark, rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bits").alias("bits")), "classes")
 
     parts = max(1, -(-int(total["postings"]) // part_postings))
     blocks = staged(spark, first_candidates(postings(documents, sketch, parts, hot), sketch, hot), "candidates")
@@ -409,16 +468,16 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, part_postings:
     links = staged(spark, verified(spark, documents, pairs, nodes), "links")
     found = components(spark, links)
     known = nodes.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    known = known.select("fp", "n", "rep", F.coalesce("label", "rep").alias("label")).where(F.col("rep").isNotNull())
+    known = known.select("fp", "n", "rep", "bits", F.coalesce("label", "rep").alias("label")).where(F.col("rep").isNotNull())
     swapped = pairs.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("a").alias("b"), F.col("an").alias("bn"))
-    more = later_candidates(blocks, known.select("fp", "n", "label")).join(pairs.union(swapped), ["a", "an", "b", "bn"], "left_anti")
+    more = later_candidates(blocks, known.select("fp", "n", "label", "bits")).join(pairs.union(swapped), ["a", "an", "b", "bn"], "left_anti")
     more = staged(spark, more, "pairs")
     if more.limit(1).count():
         links = staged(spark, links.union(verified(spark, documents, more, nodes)), "links")
         found = components(spark, links)
     decided = nodes.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
     decided = staged(spark, decided.select("fp", "n", "size", F.coalesce("label", "rep").alias("label")), "decided")
-    full = join_groups(rows.where("n > 0"), decided, ["fp", "n"], "size", total["rows"])
+    full = join_groups(rows.where("n > 0").drop("bits"), decided, ["fp", "n"], "size", total["rows"])
     own = F.when(F.col("doc_id").isNotNull(), F.col("label"))
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).unionByName(none)

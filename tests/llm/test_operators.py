@@ -246,3 +246,18 @@ def test_pipeline(spark):
         assert left.columns == df.columns
     ids = {r.doc_id for r in left.collect()}
     assert {r.doc_id for r in c.run(spark, SMALL).collect()} == ids
+
+
+def test_parity_bound_loses_no_link():
+    """The bits never tell more differences than there are, across widths; equal sets differ in none."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (1, 2, 31, 32, 33, 40, 300, 900, 1100, 2500)]
+    sets += [np.unique(np.r_[s[len(s) // 10 :], rng.integers(0, 2**63, 3).astype(np.uint64)]) for s in sets]
+    bound = jaccard_join.ParityBound([jaccard_join.parity(s) for s in sets])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    told = bound.apart(i, j, step=7)
+    assert (told <= true).all() and (told[i == j] == 0).all()
+    near = (i != j) & (true < 40) & (true > 0)
+    assert near.any() and (told[near] > 0).any()
