@@ -13,7 +13,7 @@ from tabulith.functions import missing as M
 from tabulith.functions import temporal as D
 from tabulith.operators import compress as C
 from tabulith.operators.nulls import informative_nulls
-from tabulith.sources import dta, sas_script, scan
+from tabulith.sources import dta, sas_script, sav, scan
 
 SEGMENTS = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 5}
 
@@ -208,6 +208,29 @@ def metadata_rows(spark, sf_dir):
     return spark.createDataFrame([(v["name"], got["version"], got["row_count"], v["type"][:3]) for v in got["variables"]], "name string, version int, n int, kind string")
 
 
+def stored_sav(spark: SparkSession, df: DataFrame, order_by: list[str], value_labels: dict | None = None, **options) -> DataFrame:
+    """df through a .sav file and back."""
+    path = scratch(spark, "table.sav")
+    sav.write_sav(df, path, value_labels, order_by=order_by)
+    return scan.scan(spark, path, **options)
+
+
+def scan_sav_roundtrip(spark, sf_dir):
+    got = stored_sav(spark, read(spark, sf_dir, "customer"), ["c_custkey"])
+    return scan.cast_known(got, {"c_custkey": "bigint", "c_nationkey": "int"})
+
+
+def scan_sav_group_agg(spark, sf_dir):
+    wanted = ["l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount"]
+    return priced(stored_sav(spark, read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], columns=wanted))
+
+
+def scan_sav_labels(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    got = stored_sav(spark, df, ["p_partkey"], {"p_size": {1: "least", 50: "most"}}, labels=True, offset=5, limit=300)
+    return scan.cast_known(got, {"p_partkey": "bigint"})
+
+
 def sas_script_csv(spark, sf_dir):
     path = scratch(spark, "csv")
     sas_script.sas_csv(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).write.option("header", True).csv(path)
@@ -219,6 +242,8 @@ TAGGED = "FROM (SELECT p_partkey, CAST(p_size AS BIGINT) + 70 AS c FROM part)"
 ORACLES = {
     "scan_group_agg": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "scan_dta_roundtrip": "SELECT * FROM customer",
+    "scan_sav_roundtrip": "SELECT * FROM customer",
+    "scan_sav_labels": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'least' WHEN 50 THEN 'most' ELSE CAST(p_size AS VARCHAR) END AS p_size FROM part ORDER BY p_partkey LIMIT 300 OFFSET 5",
     "scan_dta_part": "SELECT * FROM part",
     "scan_dta_datetime": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ordered FROM orders",
     "scan_projection_reorder": "SELECT n_regionkey, n_name FROM nation",
@@ -245,6 +270,7 @@ ORACLES = {
     "metadata_rows": "SELECT * FROM (VALUES ('n_nationkey', 118, 25, 'byt'), ('n_name', 118, 25, 'str'), ('n_regionkey', 118, 25, 'byt')) AS t(name, version, n, kind)",
     "sas_script_csv": "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + 315619200 AS o_orderdate FROM orders",
 }
+ORACLES["scan_sav_group_agg"] = ORACLES["scan_group_agg"]
 
 
 def queries() -> dict:

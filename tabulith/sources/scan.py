@@ -9,8 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.formats import stata
-from tabulith.sources import dta
+from tabulith.formats import spss, stata
+from tabulith.sources import dta, sav
 
 # File extensions by format.
 EXTENSIONS = {"sas7bdat": "sas", "sas7bcat": "sas", "dta": "stata", "sav": "spss", "zsav": "spss"}
@@ -25,6 +25,8 @@ def scan(spark: SparkSession, path: str, format: str | None = None, **options) -
     kind = format or detect(path)
     if kind is None:
         raise ValueError("unknown file extension")
+    if kind == "spss":
+        return sav.scan_sav(spark, path, **options)
     if kind != "stata":
         raise NotImplementedError(f"{kind} files are not read yet")
     return dta.scan_dta(spark, path, **options)
@@ -81,8 +83,15 @@ def batches(df: DataFrame, size: int) -> Iterator[pa.RecordBatch]:
 
 
 def metadata_json(path: str) -> str:
+    if detect(path) == "spss":
+        with dta.opened(path) as f:
+            p = spss.read_dictionary(f)
+        return json.dumps({
+            "version": 2, "byte_order": "LSF" if p.order == "<" else "MSF", "row_count": p.rows if p.rows >= 0 else None, "data_label": p.label or None, "data_offset": p.data_at, "encoding": p.encoding, "compression": ("none", "bytecode", "zlib")[p.compression],
+            "variables": [{"name": v.name, "short_name": v.short.decode(p.encoding, "replace"), "type": f"str{v.width}" if v.width else "double", "format": v.print_format, "label": v.label or None, "value_labels": {str(k): w for k, w in v.labels.items()} or None, "missing": v.discrete or None, "missing_range": v.span} for v in p.variables],
+        })
     if detect(path) != "stata":
-        raise NotImplementedError("only Stata files are read yet")
+        raise NotImplementedError("SAS files are not read yet")
     with dta.opened(path) as f:
         d = stata.read_dictionary(f)
     kinds = {stata.BYTE: "byte", stata.INT: "int", stata.LONG: "long", stata.FLOAT: "float", stata.DOUBLE: "double", stata.STRL: "strL"}
