@@ -15,6 +15,8 @@ from tabulith.operators import compress as C
 from tabulith.operators.nulls import informative_nulls
 from tabulith.sources import dta, sas_script, sav, scan
 
+#: What values are taken modulo by, so that days and half-years from 1960 on end before the year 10,000.
+DAYS, PERIODS = 1_000_000, 16_000
 SEGMENTS = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 5}
 
 
@@ -130,6 +132,12 @@ def decode_labels_float(spark, sf_dir):
     return L.decode_labels(df, {"half": {0.5: "least", 25.0: "most"}}).where("p_partkey % 2 = 0 OR half IN ('least', 'most')").where("half NOT LIKE '%.%'")
 
 
+def decode_labels_float_whole(spark, sf_dir):
+    """Every row, halves with a decimal point too."""
+    df = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("double") / 2).alias("half"))
+    return L.decode_labels(df, {"half": {0.5: "least", 25.0: "most"}})
+
+
 def temporal_sas(spark, sf_dir):
     c = F.col("l_orderkey").cast("double") + 0.25
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", D.sas_date(c).alias("as_date"), F.date_format(D.sas_datetime(c * 1000), "yyyy-MM-dd HH:mm:ss").alias("as_datetime"), D.sas_time(c).alias("as_time_us"))
@@ -142,12 +150,27 @@ def temporal_stata(spark, sf_dir):
     return read(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", *units, day.alias("as_datetime"), D.stata_time(-c * 1000).alias("as_time_us"))
 
 
+def temporal_stata_whole(spark, sf_dir):
+    """Every order; the values of days and periods are dealt anew so that none leaves the calendar."""
+    c = F.col("o_orderkey").cast("double")
+    units = [D.stata_date(c % PERIODS, u).alias("as_" + u) for u in "mqh"]
+    day = F.date_format(D.stata_datetime(c * 60_000), "yyyy-MM-dd HH:mm:ss")
+    return read(spark, sf_dir, "orders").select("o_orderkey", D.stata_date(c % DAYS).alias("as_d"), *units, day.alias("as_datetime"), D.stata_time(-c * 1000).alias("as_time_us"))
+
+
 def temporal_spss(spark, sf_dir):
     c = F.col("o_orderkey").cast("double") * 86_400 + D.SPSS_SECONDS + 61
     day = F.date_format(D.spss_datetime(c), "yyyy-MM-dd HH:mm:ss")
     return read(spark, sf_dir, "orders").where("o_orderkey < 30000").select("o_orderkey", D.spss_date(c).alias("as_date"), day.alias("as_datetime"), D.spss_time(F.col("o_orderkey").cast("double")).alias("as_time_us"))
 
 
+def temporal_spss_whole(spark, sf_dir):
+    """Every order; the values of days are dealt anew so that none leaves the calendar."""
+    c = (F.col("o_orderkey") % DAYS).cast("double") * 86_400 + D.SPSS_SECONDS + 61
+    day = F.date_format(D.spss_datetime(c), "yyyy-MM-dd HH:mm:ss")
+    return read(spark, sf_dir, "orders").select("o_orderkey", D.spss_date(c).alias("as_date"), day.alias("as_datetime"), D.spss_time(F.col("o_orderkey").cast("double")).alias("as_time_us"))
+
+
 def stata_missing_byte(spark, sf_dir):
     c = F.col("l_partkey") % 128
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", M.stata_value(c, "byte").alias("v"), M.stata_tag(c, "byte").alias("tag"))
@@ -231,6 +254,13 @@ def scan_sav_labels(spark, sf_dir):
     return scan.cast_known(got, {"p_partkey": "bigint"})
 
 
+def scan_sav_labels_whole(spark, sf_dir):
+    """Every row's label, without offset and limit."""
+    df = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    got = stored_sav(spark, df, ["p_partkey"], {"p_size": {1: "least", 50: "most"}}, labels=True)
+    return scan.cast_known(got, {"p_partkey": "bigint"})
+
+
 def sas_script_csv(spark, sf_dir):
     path = scratch(spark, "csv")
     sas_script.sas_csv(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).write.option("header", True).csv(path)
@@ -270,6 +300,13 @@ ORACLES = {
     "metadata_rows": "SELECT * FROM (VALUES ('n_nationkey', 118, 25, 'byt'), ('n_name', 118, 25, 'str'), ('n_regionkey', 118, 25, 'byt')) AS t(name, version, n, kind)",
     "sas_script_csv": "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + 315619200 AS o_orderdate FROM orders",
 }
+# Over whole tables, where the queries of these names without _whole take part of the rows.
+ORACLES |= {
+    "scan_sav_labels_whole": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'least' WHEN 50 THEN 'most' ELSE CAST(p_size AS VARCHAR) END AS p_size FROM part",
+    "decode_labels_float_whole": "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'least' WHEN p_size = 50 THEN 'most' WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS half FROM part",
+    "temporal_stata_whole": f"SELECT o_orderkey, CAST(DATE '1960-01-01' + CAST(o_orderkey % {DAYS} AS INTEGER) AS DATE) AS as_d, CAST(DATE '1960-01-01' + to_months(CAST(n AS INTEGER)) AS DATE) AS as_m, CAST(DATE '1960-01-01' + to_months(CAST(n * 3 AS INTEGER)) AS DATE) AS as_q, CAST(DATE '1960-01-01' + to_months(CAST(n * 6 AS INTEGER)) AS DATE) AS as_h, strftime(TIMESTAMP '1960-01-01' + to_minutes(o_orderkey), '%Y-%m-%d %H:%M:%S') AS as_datetime, ((86400000 - (o_orderkey * 1000) % 86400000) % 86400000) * 1000 AS as_time_us FROM (SELECT o_orderkey, o_orderkey % {PERIODS} AS n FROM orders)",
+    "temporal_spss_whole": f"SELECT o_orderkey, CAST(DATE '1970-01-01' + CAST(o_orderkey % {DAYS} AS INTEGER) AS DATE) AS as_date, strftime(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey % {DAYS} * 86400 + 61), '%Y-%m-%d %H:%M:%S') AS as_datetime, o_orderkey * 1000000 AS as_time_us FROM orders",
+}
 ORACLES["scan_sav_group_agg"] = ORACLES["scan_group_agg"]
 
 

@@ -1,0 +1,12 @@
+"""The catalogue covers whole tables: every row of the input is converted and compared."""
+
+import pytest
+
+from tabulith.plans import catalogue
+from tests.conftest import SMALL
+
+
+@pytest.mark.parametrize("name, table, key", [("temporal_stata_whole", "orders", "o_orderkey"), ("temporal_spss_whole", "orders", "o_orderkey"), ("decode_labels_float_whole", "part", "p_partkey"), ("scan_sav_labels_whole", "part", "p_partkey")])
+def test_every_row(spark, name, table, key):
+    got = catalogue.queries()[name](spark, SMALL)
+    assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in catalogue.read(spark, SMALL, table).select(key).collect())
