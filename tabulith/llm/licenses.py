@@ -13,9 +13,14 @@ window.
 A text that lacks every anchor of every template cannot contain four fifths of any one (each
 template has an anchor in more than a fifth of its shingles), and skips the windowing.
 
+Templates of fewer than five words are one shingle each, of their own width, which a text has or
+lacks: they are looked up at every word of the texts that hold their longest word, and compared
+word by word.
+
 Defined results: null, empty and very short texts match nothing; texts are scanned whole; a
 template found at several places is reported once, at the first of its best matches; repeated rows
-each count; a null doc_id is carried along; an empty table gives an empty result.
+each count; a null doc_id is carried along; an empty table gives an empty result; a template
+without a word matches nothing.
 """
 
 from __future__ import annotations
@@ -57,6 +62,17 @@ TEMPLATES = {
     "all-rights-reserved": "Copyright by the author. All rights reserved.",
 }
 
+# Notices of fewer words than a shingle has.
+SHORT_NOTICES = {
+    "all-rights-reserved-notice": "All rights reserved.",
+    "some-rights-reserved-notice": "Some rights reserved.",
+    "no-rights-reserved-notice": "No rights reserved.",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-zlib": "SPDX-License-Identifier: Zlib",
+    "spdx-unlicense": "SPDX-License-Identifier: Unlicense",
+}
+
 
 def normalised(text: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
@@ -71,7 +87,8 @@ def anchors(templates: dict[str, str]) -> list[str]:
     out: set[str] = set()
     for text in templates.values():
         w = template_words(text)
-        every = [w[i : i + SHINGLE] for i in range(len(w) - SHINGLE + 1)]
+        k = min(SHINGLE, len(w))
+        every = [w[i : i + k] for i in range(len(w) - k + 1)]
         needed = int(len(every) * (1 - CONTAINED) + 1e-9) + 1  # so many shingles cannot all be missing
         for word in sorted(set(w), key=lambda x: (x not in out, -len(x), x)):
             if sum(bool(out & set(g)) for g in every) >= needed:
@@ -102,24 +119,55 @@ def windows(rows: DataFrame, step: int) -> DataFrame:
     return rows.where(F.size("sh") > 0).withColumn("at", F.explode(starts)).withColumn("part", F.slice("sh", F.col("at") + 1, span)).where(F.size("part") > 0)
 
 
+def short_matches(spark: SparkSession, docs: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """The first place of every template of fewer than SHINGLE words in docs' words `w`."""
+    bodies = {k: template_words(t) for k, t in sorted(templates.items())}
+    known = F.broadcast(spark.createDataFrame([(k, " ".join(w)) for k, w in bodies.items()], "template_id string, body string"))
+    found = None
+    for width in sorted({len(w) for w in bodies.values()}):
+        keys = [F.xxhash64(*(F.lit(x) for x in w)) for w in bodies.values() if len(w) == width]
+        last = F.size("w") - width
+        every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        like = F.filter(every, lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(width))).isin(*keys))
+        hits = F.transform(like, lambda i: F.struct(i.cast("long").alias("at"), F.concat_ws(" ", F.slice("w", i + 1, F.lit(width))).alias("body")))
+        part = docs.select("doc_id", "row", F.explode(hits).alias("h")).select("doc_id", "row", "h.*")
+        found = part if found is None else found.unionByName(part)
+    first = found.join(known, "body").groupBy("row", "doc_id", "template_id").agg(F.min("at").alias("word_start"))
+    return first.select("doc_id", "template_id", F.lit(1.0).alias("containment"), "word_start")
+
+
 def scan_licenses(spark: SparkSession, documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, template_id, containment and word_start of every template in every document."""
-    templates = {k: t for k, t in (TEMPLATES if templates is None else templates).items() if len(template_words(t)) >= SHINGLE}
-    if not templates:
+    given = {k: t for k, t in (TEMPLATES if templates is None else templates).items() if template_words(t) != [""]}
+    if not given:
         return spark.createDataFrame([], "doc_id long, template_id string, containment double, word_start long")
+    templates = {k: t for k, t in given.items() if len(template_words(t)) >= SHINGLE}
+    short = {k: t for k, t in given.items() if k not in templates}
+    low = F.lower("text")
+
+    def has(some: dict[str, str]) -> F.Column:
+        out = F.lit(False)
+        for a in anchors(some):
+            out = out | F.contains(low, F.lit(a))
+        return out
+
+    docs = id_text(documents).select(F.col("doc_id").cast("long"), "text", has(templates).alias("long"), has(short).alias("short")).where("long OR short")
+    # Written between the steps: the optimiser would repeat the split for every word otherwise.
+    docs = staged(spark, docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(normalised(F.col("text")), " ").alias("w"), "long", "short"), "license-words")
+    if not templates:
+        return short_matches(spark, docs.where("short"), short)
+    found = long_matches(spark, docs.where("long"), templates)
+    return found.unionByName(short_matches(spark, docs.where("short"), short)) if short else found
+
+
+def long_matches(spark: SparkSession, docs: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """The best place of every template of SHINGLE words or more in docs' words `w`."""
     known = spark.createDataFrame(sorted(templates.items()), "template_id string, body string")
     known = known.select("template_id", F.split(normalised(F.col("body")), " ").alias("w"))
     known = known.select("template_id", F.size("w").alias("words"), shingle_hashes(F.col("w")).alias("sh")).withColumn("wanted", F.array_distinct("sh"))
     bands = windows(known, 1).select("template_id", F.explode(signature(F.col("part"))).alias("key")).distinct()
     bands = bands.groupBy("key").agg(F.collect_set("template_id").alias("ids"))  # bounded by the templates given
 
-    low = F.lower("text")
-    has = F.lit(False)
-    for a in anchors(templates):
-        has = has | F.contains(low, F.lit(a))
-    docs = id_text(documents).select(F.col("doc_id").cast("long"), "text").where(has)
-    # Written between the steps: the optimiser would repeat the split for every word otherwise.
-    docs = staged(spark, docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(normalised(F.col("text")), " ").alias("w")), "license-words")
     docs = staged(spark, docs.select("doc_id", "row", shingle_hashes(F.col("w")).alias("sh")), "license-shingles")
     docs = docs.repartition(4 * shuffle_width(spark), "row")  # few bytes, much work
     longest = max(len(template_words(t)) for t in templates.values())

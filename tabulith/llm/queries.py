@@ -33,7 +33,7 @@ def op5_block_rule_extraction(spark, sf_dir):
 
 
 def op6_license_scan(spark, sf_dir):
-    return licenses.scan_licenses(spark, _read(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(spark, _read(spark, sf_dir, "documents"), licenses.TEMPLATES | licenses.SHORT_NOTICES)
 
 
 def op7_lexical_packing(spark, sf_dir):
