@@ -3,8 +3,10 @@
 The items are indexed (long ones in parts of at most `PART` words); every training passage, a
 window of `PASSAGE` words that begins every `STRIDE` words, is a query, and every part whose
 score reaches `THRESHOLD` of its score against itself is retrieved. As in block-max WAND, parts
-lie in blocks, each term keeps its largest impact per block, and only blocks whose summed bounds
-reach the threshold are scored; the bounds of all passages of a document are summed at once.
+lie in blocks, each term keeps its largest impact per block, and only passages in which a block's
+summed bounds reach the threshold are scored; the bounds of all passages of a document are summed
+at once. Terms of many blocks are left out of the bounds as far as they make up at most half the
+threshold in every part, so a text without any other term matches nothing.
 A hit counts if both halves of the item, question and answer, overlap with the words around it.
 
 The index is broadcast in shards of at most `SHARD_BYTES` of item text; beyond one shard the
@@ -96,7 +98,9 @@ class Index:
             own = sum(got.values())
             for x, v in got.items():
                 lists[self.ids[x]].append((p, v / own))
-        self.lists = lists
+        self.starts = np.cumsum([0, *map(len, lists)])
+        self.part = np.array([p for plist in lists for p, _ in plist], np.int64)
+        self.impact = np.array([v for plist in lists for _, v in plist], np.float64)
         self.blocks = -(-len(parts) // BLOCK) if parts else 0
         at, block, most = [0], [], []
         for plist in lists:
@@ -108,14 +112,29 @@ class Index:
             at.append(len(block))
         self.at, self.block, self.most = np.array(at), np.array(block, np.int64), np.array(most, np.float64)
         # Terms of many blocks are not looked up for bounds: what they can add to a part is taken off the threshold.
-        common = np.diff(self.at) > max(1, self.blocks * COMMON)
-        self.rare = np.r_[~common, False]
+        # They take off half of it at most, the longest lists first; the others are looked up all the same.
+        size = np.diff(self.at)
+        common = size > max(1, self.blocks * COMMON)
         rest = np.zeros(self.blocks * BLOCK)
-        for k in np.flatnonzero(common):
-            for p, v in lists[k]:
+        for k in sorted(np.flatnonzero(common).tolist(), key=lambda k: (-size[k], k)):
+            p, v = self.of(k)
+            if (rest[p] + v).max() <= THRESHOLD / 2:
                 rest[p] += v
+            else:
+                common[k] = False
+        self.rare = np.r_[~common, False]
         self.need = THRESHOLD - 1e-9 - (rest.reshape(self.blocks, BLOCK).max(1) if self.blocks else rest)
 
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts that hold term k, and its impacts there."""
+        at = slice(self.starts[k], self.starts[k + 1])
+        return self.part[at], self.impact[at]
+
+    def scores(self, terms: list[int]) -> np.ndarray:
+        """The score of every part against distinct terms."""
+        got = [self.of(k) for k in terms]
+        return np.bincount(np.concatenate([p for p, _ in got]), np.concatenate([v for _, v in got]), len(self.parts))
+
 
 class Matcher:
     def __init__(self, index: Index):
@@ -137,31 +156,25 @@ class Matcher:
         span = np.minimum(passages - 1, pos // STRIDE) - first + 1  # passages a word lies in
         who = np.repeat(np.arange(len(pos)), span)
         passage = first[who] + (np.arange(len(who)) - np.repeat(np.cumsum(span) - span, span))
-        pair = np.unique(passage * len(x.lists) + term[pos][who])  # a term counts once in a passage
-        passage, t = pair // len(x.lists), pair % len(x.lists)
+        pair = np.unique(passage * len(x.ids) + term[pos][who])  # a term counts once in a passage
+        passage, t = pair // len(x.ids), pair % len(x.ids)
         lens = x.at[t + 1] - x.at[t]
         rep = np.repeat(np.arange(len(t)), lens)
         entry = x.at[t][rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(lens) - lens, lens))
         bound = np.bincount(passage[rep] * x.blocks + x.block[entry], x.most[entry], passages * x.blocks)
         found: dict[int, tuple] = {}
-        for key in np.flatnonzero(bound.reshape(passages, x.blocks) >= x.need):
-            p, b = divmod(int(key), x.blocks)
-            score = [0.0] * BLOCK
-            for k in set(term[p * STRIDE : p * STRIDE + PASSAGE].tolist()) - {-1}:
-                for part, v in x.lists[k]:
-                    if part // BLOCK == b:
-                        score[part % BLOCK] += v
-            for j, s in enumerate(score):
-                if s >= THRESHOLD:
-                    item = x.parts[b * BLOCK + j][0]
-                    if item in found and found[item][1] >= s:
-                        continue
-                    q, ans = x.halves[item]
-                    reach = len(q) + len(ans)
-                    around = raw[max(0, p * STRIDE - reach) : p * STRIDE + PASSAGE + reach]
-                    oq, oa = overlap(q, around), overlap(ans, around)
-                    if oq >= OVERLAP and oa >= OVERLAP:
-                        found[item] = (x.items[item][0], round(s, 6), oq, oa, p * STRIDE)
+        for p in np.flatnonzero((bound.reshape(passages, x.blocks) >= x.need).any(1)).tolist():
+            score = x.scores(sorted(set(term[p * STRIDE : p * STRIDE + PASSAGE].tolist()) - {-1}))
+            for part in np.flatnonzero(score >= THRESHOLD).tolist():
+                item, s = x.parts[part][0], float(score[part])
+                if item in found and found[item][1] >= s:
+                    continue
+                q, ans = x.halves[item]
+                reach = len(q) + len(ans)
+                around = raw[max(0, p * STRIDE - reach) : p * STRIDE + PASSAGE + reach]
+                oq, oa = overlap(q, around), overlap(ans, around)
+                if oq >= OVERLAP and oa >= OVERLAP:
+                    found[item] = (x.items[item][0], round(s, 6), oq, oa, p * STRIDE)
         return sorted(found.values(), key=lambda r: (r[0] is None, r[0], r[4]))
 
 
