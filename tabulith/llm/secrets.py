@@ -2,9 +2,9 @@
 
 Base findings stand alone: assignments, access identifiers and long hexadecimal runs. Weak
 candidates (identifier-like names, high-entropy strings, service endpoints) are reported only
-when complementary parts co-occur: within one document they are interval-joined, each part
-widened by `reach` code points and cut to its scope (a paragraph, or the whole text where it
-has no blank line), and a group is reported when it holds parts of at least two different roles
+when complementary parts co-occur: within one document the parts of each scope (a paragraph, or
+the whole text where it has no blank line) are joined, however much text lies between them, or
+with `reach` only those at most so many code points from the next, and a group is reported when it holds parts of at least two different roles
 of which one is a key part. Documents are independent, so the scan is one Arrow pass with no
 shuffle; spans are offsets in code points with an exclusive end.
 
@@ -35,7 +35,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 # Weak parts, by role. They count only in company.
 IDENTITY = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?|tenant)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 ENDPOINT = re.compile(r"""\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]{4,})""", re.I | re.A)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
 IDENTITY_HINTS = (b"user", b"login", b"client", b"account", b"access", b"tenant")
 ENDPOINT_HINTS = (b"://", b"host", b"endpoint", b"server")
 SCOPE = re.compile(r"\n[\x20\t]*\n")
@@ -72,7 +72,7 @@ def weak_spans(text: str, low: bytes) -> list[tuple[int, int, str]]:
     return found
 
 
-def linked(text: str, low: bytes, base: list[tuple[int, int, str]], reach: int) -> list[tuple[int, int, str]]:
+def linked(text: str, low: bytes, base: list[tuple[int, int, str]], reach: int | None) -> list[tuple[int, int, str]]:
     """Weak spans that an interval join connects with complementary parts."""
     weak = weak_spans(text, low)
     if not base and not weak:
@@ -96,7 +96,7 @@ def linked(text: str, low: bytes, base: list[tuple[int, int, str]], reach: int)
         while cut < len(cuts) and cuts[cut] <= p[0]:
             crossed = crossed or cuts[cut] >= end
             cut += 1
-        if group and (p[0] > end + reach or crossed):
+        if group and (reach is not None and p[0] > end + reach or crossed):
             close()
             group = []
         group.append(p)
@@ -105,7 +105,7 @@ def linked(text: str, low: bytes, base: list[tuple[int, int, str]], reach: int)
     return out
 
 
-def scan_text(text: str | None, reach: int = 200) -> tuple[int, int, int, str, str]:
+def scan_text(text: str | None, reach: int | None = None) -> tuple[int, int, int, str, str]:
     text = text or ""
     low = text.encode("utf-8", "surrogatepass").lower()
     base = base_spans(text, low)
@@ -120,7 +120,7 @@ def scan_text(text: str | None, reach: int = 200) -> tuple[int, int, int, str, s
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def find_secrets(documents: DataFrame, reach: int = 200) -> DataFrame:
+def find_secrets(documents: DataFrame, reach: int | None = None) -> DataFrame:
     """One row per document: counts of base kinds, their digest, and all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
