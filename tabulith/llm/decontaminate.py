@@ -10,7 +10,8 @@ threshold in every part, so a text without any other term matches nothing.
 A hit counts if both halves of the item, question and answer, overlap with the words around it.
 
 The index is broadcast in shards of at most `SHARD_BYTES` of item text; beyond one shard the
-documents are scanned once for each.
+documents are scanned once for each. Part counts, lengths and document frequencies are those of
+all items, so scores do not depend on the shards.
 
 Defined results: items without a word are left out; null and empty documents match nothing; an
 item given twice is reported under each id; several hits of a document and item give one row,
@@ -20,7 +21,7 @@ the best; repeated documents each give rows; empty tables give an empty result.
 from __future__ import annotations
 
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import id_text
+from tabulith.llm.common import id_text, staged
 
 PASSAGE, STRIDE, PART, BLOCK = 128, 64, 64, 4
 THRESHOLD = 0.5
@@ -71,30 +72,39 @@ def overlap(part: list[bytes], around: list[bytes]) -> float:
     return len(want & have) / len(want)
 
 
+def cut(w: list[bytes]) -> list[list[bytes]]:
+    """An item's words in parts of at most PART."""
+    n = -(-len(w) // PART)
+    return [w[j * len(w) // n : (j + 1) * len(w) // n] for j in range(n)]
+
+
 class Index:
-    """BM25 impacts of item parts, as shares of a part's score against itself, with block maxima."""
+    """BM25 impacts of item parts, as shares of a part's score against itself, with block maxima.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    `known` has the number of parts, of their words, and the parts that hold each word, of all
+    items where `items` are a shard of them.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], known: tuple[int, int, dict[bytes, int]] | None = None):
         self.items = [(i, t) for i, t in items if words(t)]
         self.halves = [halves(t) for _, t in self.items]
         parts: list[tuple[int, list[bytes]]] = []
         for k, (_, t) in enumerate(self.items):
-            w = words(t)
-            n = -(-len(w) // PART)
-            parts += [(k, w[j * len(w) // n : (j + 1) * len(w) // n]) for j in range(n)]
+            parts += [(k, w) for w in cut(words(t))]
         self.parts = parts
         df: dict[bytes, int] = defaultdict(int)
         for _, w in parts:
             for x in set(w):
                 df[x] += 1
         self.ids = {w: k for k, w in enumerate(sorted(df))}
-        mean = sum(len(w) for _, w in parts) / max(1, len(parts))
+        total, length, df = known or (len(parts), sum(len(w) for _, w in parts), df)
+        mean = length / max(1, total)
         lists: list[list[tuple[int, float]]] = [[] for _ in self.ids]
         for p, (_, w) in enumerate(parts):
             tf: dict[bytes, int] = defaultdict(int)
             for x in w:
                 tf[x] += 1
-            got = {x: np.log(1 + (len(parts) - df[x] + 0.5) / (df[x] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for x, c in tf.items()}
+            got = {x: np.log(1 + (total - df[x] + 0.5) / (df[x] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for x, c in tf.items()}
             own = sum(got.values())
             for x, v in got.items():
                 lists[self.ids[x]].append((p, v / own))
@@ -178,14 +188,35 @@ class Matcher:
         return sorted(found.values(), key=lambda r: (r[0] is None, r[0], r[4]))
 
 
+def word_counts(items: DataFrame) -> DataFrame:
+    """(word, parts, length): the parts that hold each word; of no word, the number of parts and of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [p for t in b.column(0) for p in cut(words(t.as_py()))]
+            df = Counter(x for p in parts for x in set(p))
+            cols = [pa.array([None, *df], pa.binary()), pa.array([len(parts), *df.values()], pa.int64()), pa.array([sum(map(len, parts)), *[0] * len(df)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["word", "parts", "length"])
+
+    made = items.select("text").mapInArrow(run, "word binary, parts long, length long")
+    return made.groupBy("word").agg(F.sum("parts").alias("parts"), F.sum("length").alias("length"))
+
+
 def shards(spark: SparkSession, benchmark: DataFrame) -> Iterator:
     """Broadcast indexes over items of at most SHARD_BYTES each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // SHARD_BYTES)
+    if n > 1:
+        counts = staged(spark, word_counts(items), "item-words")
+        total, length = counts.where("word IS NULL").select("parts", "length").first()
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0], r[1]))))
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        rows = own.collect()
+        known = None
+        if n > 1:  # of all words, only those of the shard come to the driver
+            known = total, length, {bytes(r[0]): r[1] for r in counts.join(word_counts(own).select("word"), "word").select("word", "parts").collect()}
+        yield spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0], r[1])), known))
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word_start long"
