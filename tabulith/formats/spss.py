@@ -13,6 +13,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tabulith.formats.text import WESTERN, fixed
 
 # The numbers that stand for system missing, lowest and highest, as bits.
 SYSMIS, LOWEST, HIGHEST = 0xFFEFFFFFFFFFFFFF, 0xFFEFFFFFFFFFFFFE, 0x7FEFFFFFFFFFFFFF
@@ -23,6 +27,8 @@ TEMPORAL = {20: "date", 23: "date", 24: "date", 38: "date", 39: "date", 22: "dat
 # Bytes of a segment of a very long string, and its share of the declared width.
 SEGMENT, SEGMENT_SHARE = 255, 252
 EPOCH = 12_219_379_200
+#: A text with one of these cannot be written in Windows-1252.
+NOT_WESTERN = "[^" + "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in WESTERN if c.encode("cp1252", "ignore")) + "]"
 
 
 class SpssError(ValueError):
@@ -299,19 +305,16 @@ def cases(f, d: Dictionary, start: int, stop: int | None, batch: int) -> Iterato
             return
 
 
-def decode(d: Dictionary, v: Variable, rows: np.ndarray, empty_as_null: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values, which of them are there, and which are declared missing."""
+def decode(d: Dictionary, v: Variable, rows: np.ndarray) -> tuple[np.ndarray | pa.Array, np.ndarray, np.ndarray]:
+    """Values (texts as an Arrow array), which of them are there, and which are declared missing."""
     if v.width:
         raw = np.concatenate([rows[:, a : a + n] for a, n in v.pieces], axis=1)
-        flat, n = np.ascontiguousarray(raw).tobytes(), raw.shape[1]
-        utf8 = d.encoding == "utf-8"
-        got = np.empty(len(rows), object)
-        for k in range(len(rows)):
-            word = flat[k * n : k * n + n].rstrip(b" \0")
-            got[k] = (word.replace(b"\0", b"") if utf8 else word).decode(d.encoding, "replace")
-        declared = np.isin(got.astype(str), v.discrete) if v.discrete else np.zeros(len(rows), bool)
-        blank = np.array([not x for x in got], bool)
-        return got, ~declared & ~(blank & empty_as_null), declared & ~blank
+        words = fixed(raw, d.encoding, "drop" if d.encoding == "utf-8" else "keep")
+        blank = pc.equal(words, "").to_numpy(zero_copy_only=False)
+        declared = np.zeros(len(rows), bool)
+        if v.discrete:
+            declared = pc.is_in(words, value_set=pa.array(v.discrete, pa.string())).to_numpy(zero_copy_only=False)
+        return words, ~declared & ~blank, declared & ~blank
     at = v.pieces[0][0]
     x = np.ascontiguousarray(rows[:, at : at + 8]).view(d.order + "f8").ravel().astype("<f8")
     pattern = x.view(np.uint64)
@@ -367,16 +370,19 @@ def head(variables: list[Variable], rows: int, utf8: bool, made: str = "01 Jan 7
     return b"".join([*out, struct.pack("<2i", 999, 0)])
 
 
-def encode(variables: list[Variable], columns: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
-    n = len(columns[0][0]) if columns else 0
+def encode(variables: list[Variable], columns: list[pa.Array], utf8: bool) -> bytes:
+    n = len(columns[0]) if columns else 0
     out = np.full((n, sum(v.cells for v in variables) * 8), 32, np.uint8)
-    for v, (x, ok) in zip(variables, columns, strict=True):
+    for v, a in zip(variables, columns, strict=True):
         at = v.cell * 8
         if v.width:
-            words = np.array([w.encode("utf-8").ljust(v.cells * 8) for w in x], f"S{v.cells * 8}")
+            raw = [w.encode("utf-8" if utf8 else "cp1252") if w else b"" for w in a.to_pylist()]
+            if max(map(len, raw), default=0) > v.width:
+                raise SpssError(f"{v.name}: a text is longer than it was when widths were taken")
+            words = np.array([w.ljust(v.cells * 8) for w in raw], f"S{v.cells * 8}")
             out[:, at : at + v.cells * 8] = words.view(np.uint8).reshape(n, v.cells * 8)
         else:
-            y = x.astype("<f8").view(np.uint64).copy()
-            y[~ok] = SYSMIS
+            y = a.fill_null(0).to_numpy(zero_copy_only=False).astype("<f8").view(np.uint64).copy()
+            y[~a.is_valid().to_numpy(zero_copy_only=False)] = SYSMIS
             out[:, at : at + 8] = y.view(np.uint8).reshape(n, 8)
     return out.tobytes()

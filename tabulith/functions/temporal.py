@@ -13,17 +13,20 @@ SAS_DAYS = STATA_DAYS = 3653
 SPSS_SECONDS = 12_219_379_200
 DAY = 86_400
 SAS_LEAST, SAS_MOST = -135_080, 156_935
-# SAS display formats by kind.
-SAS_DATETIME = ("DATETIME", "DATEAMPM", "DTDATE", "DTMONYY", "DTYEAR", "E8601DT", "B8601DT", "IS8601DT", "NLDATM", "MDYAMPM")
-SAS_DATE = ("DATE", "DAY", "DDMMYY", "MMDDYY", "YYMMDD", "MONYY", "MONTH", "YEAR", "YYMM", "YYQ", "QTR", "JULIAN", "WEEKDATE", "WEEKDAY", "WORDDATE", "E8601DA", "B8601DA", "IS8601DA", "NLDATE", "JULDAY", "MONNAME", "DOWNAME")
-SAS_TIME = ("TIME", "HHMM", "TOD", "HOUR", "MMSS", "E8601TM", "B8601TM", "IS8601TM", "NLTIME", "TIMEAMPM")
+# SAS display formats by kind; a format belongs to the first kind with a name it begins with.
+SAS_DATETIME = ("DATETIME", "DTWKDATX", "B8601DN", "B8601DT", "B8601DX", "B8601DZ", "B8601LX", "E8601DN", "E8601DT", "E8601DX", "E8601DZ", "E8601LX", "DATEAMPM", "DTDATE", "DTMONYY", "DTYEAR", "TOD", "MDYAMPM")
+SAS_DATE = (
+    "DATE", "DAY", "DDMMYY", "JULDAY", "JULIAN", "MMDDYY", "MMYY", "MONNAME", "MONTH", "MONYY", "QTR", "NENGO", "WEEKDATE", "WEEKDATX", "WEEKDAY",
+    "WEEKV", "WORDDATE", "WORDDATX", "YEAR", "YYMM", "YYMON", "YYQ",
+)
+SAS_TIME = ("TIME", "HHMM")
 
 
 def sas_kind(fmt: str | None) -> str | None:
-    """date, datetime or time by the format's name without its width and decimals."""
-    name = (fmt or "").strip().upper().rstrip("0123456789.")
+    """date, datetime or time by the beginning of the format's name."""
+    name = (fmt or "").upper()
     for kind, names in (("datetime", SAS_DATETIME), ("date", SAS_DATE), ("time", SAS_TIME)):
-        if name in names or (fmt or "").strip().upper().split(".")[0] in names:
+        if name.startswith(names):
             return kind
     return None
 
@@ -43,9 +46,9 @@ def of_micros(micros: Column) -> Column:
 
 
 def sas_date(c: Column) -> Column:
-    """Days since 1960; values outside the calendar are seconds."""
-    days = F.when((c >= SAS_LEAST) & (c <= SAS_MOST), whole(c)).otherwise(whole(c / DAY))
-    return of_days(days - SAS_DAYS)
+    """Days since 1960; where that is outside the bounds, counted from 1970, the value has seconds."""
+    days, seconds = whole(c) - SAS_DAYS, whole(c / DAY) - SAS_DAYS
+    return of_days(F.when(days.between(SAS_LEAST, SAS_MOST), days).otherwise(seconds))
 
 
 def sas_datetime(c: Column) -> Column:

@@ -11,143 +11,140 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tabulith.formats import spss as S
-from tabulith.sources.dta import Rows, opened, plain
+from tabulith.formats.text import labelled, plain
+from tabulith.sources import sink
+from tabulith.sources.base import Options, RecordReader, Rows, load, opened, tag_field
 
 TYPES = {"string": T.StringType(), "number": T.DoubleType(), "date": T.DateType(), "datetime": T.TimestampNTZType(), "time": T.LongType()}
 
 
 class SavSource(DataSource):
-    """Options: path, columns (comma-separated), offset, limit, partitions, batch_rows, empty_as_null, labels, indicators (suffix)."""
+    __doc__ = Options.__doc__
 
     @classmethod
     def name(cls) -> str:
         return "sav"
 
-    def _plan(self) -> tuple[S.Dictionary, list[S.Variable]]:
-        with opened(self.options["path"]) as f:
+    def _plan(self) -> tuple[Options, S.Dictionary, list[S.Variable]]:
+        o = Options(self.options)
+        with opened(o.path) as f:
             d = S.read_dictionary(f)
             if d.rows < 0 and d.compression == 0 and d.cells:
                 d.rows = (f.size() - d.data_at) // (8 * d.cells)
-        by = {v.name: v for v in d.variables}
-        names = [c for c in self.options.get("columns", "").split(",") if c] or list(by)
-        for c in names:
-            if c not in by:
-                raise S.SpssError(f"unknown column {c}")
-        return d, [by[c] for c in names]
+        return o, d, o.pick(d.variables, S.SpssError)
 
     def schema(self) -> T.StructType:
-        d, wanted = self._plan()
-        labels, suffix, fields = self.options.get("labels", "false") == "true", self.options.get("indicators"), []
-        names = {v.name for v in d.variables}
+        o, d, wanted = self._plan()
+        tagged = lambda v: o.has_tag(v.name, bool(v.discrete or v.span))
+        o.check_tags((v.name for v in d.variables), (v.name for v in wanted if tagged(v)), S.SpssError)
+        fields = []
         for v in wanted:
-            meta = {"label": v.label, "format": str(v.print_format), "value_labels": json.dumps({str(k): w for k, w in v.labels.items()})}
-            fields.append(T.StructField(v.name, T.StringType() if labels and v.labels else TYPES[v.kind], True, meta))
-            if suffix and (v.discrete or v.span):
-                if v.name + suffix in names:
-                    raise S.SpssError(f"indicator {v.name + suffix} is a column of the file")
-                fields.append(T.StructField(v.name + suffix, T.StringType(), True))
+            words = {str(k): w for k, w in v.labels.items()}
+            meta = {"label": v.label, "format": str(v.print_format)} | ({"value_labels": json.dumps(words)} if words and not o.labels else {})
+            fields.append(T.StructField(v.name, T.StringType() if o.labels and v.labels else TYPES[v.kind], True, meta))
+            if tagged(v):
+                fields.append(tag_field(v.name, o.suffix))
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SavReader(self.options, *self._plan())
+        return SavReader(*self._plan())
 
 
-class SavReader(DataSourceReader):
-    def __init__(self, options, d: S.Dictionary, wanted: list[S.Variable]):
-        self.path, self.d, self.wanted = options["path"], d, wanted
-        self.start = int(options.get("offset", 0))
-        self.stop = self.start + int(options["limit"]) if "limit" in options else None
-        if d.rows >= 0:
-            self.start = min(self.start, d.rows)
-            self.stop = d.rows if self.stop is None else min(self.stop, d.rows)
-        self.parts, self.batch = int(options.get("partitions", 8)), max(1, int(options.get("batch_rows", 100_000)))
-        self.empty = options.get("empty_as_null", "true") == "true"
-        self.labels, self.suffix = options.get("labels", "false") == "true", options.get("indicators")
+class SavReader(RecordReader):
+    def __init__(self, o: Options, d: S.Dictionary, wanted: list[S.Variable]):
+        super().__init__(o, wanted)
+        self.d = d
 
     def partitions(self) -> list[InputPartition]:
-        if self.d.compression or self.stop is None:
-            return [Rows(self.start, self.stop)]
-        n = self.stop - self.start
-        parts = max(1, min(self.parts, n))
-        return [Rows(self.start + n * k // parts, self.start + n * (k + 1) // parts) for k in range(parts)]
-
-    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
-        with opened(self.path) as f:
-            for rows in S.cases(f, self.d, part.start, part.stop, self.batch):
-                arrays, names = [], []
-                for v in self.wanted:
-                    x, ok, declared = S.decode(self.d, v, rows, self.empty)
-                    arrays.append(self._array(v, x, ok))
-                    names.append(v.name)
-                    if self.suffix and (v.discrete or v.span):
-                        arrays.append(pa.array([indicator(v, a) if m else None for a, m in zip(x, declared, strict=True)], pa.string()))
-                        names.append(v.name + self.suffix)
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    def _array(self, v: S.Variable, x: np.ndarray, ok: np.ndarray) -> pa.Array:
-        if self.labels and v.labels:
-            return pa.array([(v.labels.get(a) or (a if v.width else plain(a))) if g else None for a, g in zip(x, ok, strict=True)], pa.string())
+        d, o = self.d, self.o
+        if d.compression or d.rows < 0:
+            return [Rows(o.offset, None if o.limit is None else o.offset + o.limit)]
+        return o.split(*o.window(d.rows), d.cells * 8)
+
+    def blocks(self, part: Rows) -> Iterator[np.ndarray]:
+        with opened(self.o.path) as f:
+            yield from S.cases(f, self.d, part.start, part.stop, self.o.rows_at_once(self.d.cells * 8))
+
+    def arrays(self, v: S.Variable, rows: np.ndarray) -> Iterator[tuple[str, pa.Array]]:
+        x, ok, declared = S.decode(self.d, v, rows)
         if v.width:
-            return pa.array(x, pa.string(), mask=~ok)
-        if v.kind == "number":
-            return pa.array(x, mask=~ok)
-        ok = ok & (np.abs(x) < 9e12)
-        whole = np.trunc(np.where(ok, x, 0)).astype(np.int64)
-        if v.kind == "time":
-            return pa.array(whole * 1_000_000, pa.int64(), mask=~ok)
-        seconds = whole - S.EPOCH
-        if v.kind == "datetime":
-            return pa.array(seconds * 1_000_000, pa.timestamp("us"), mask=~ok)
-        days = np.sign(seconds) * (np.abs(seconds) // 86_400)  # toward zero
-        return pa.array(np.clip(days, -719162, 2932896).astype(np.int32), pa.int32(), mask=~ok).cast(pa.date32())
-
-
-def indicator(v: S.Variable, x) -> str:
-    """What kind of declared missing a value is: its label, else its text; MISSING in a range."""
-    if x in v.labels:
-        return v.labels[x]
-    if v.width:
-        return x
-    return plain(x) if x in v.discrete else "MISSING"
+            gone = declared if not self.o.empty else ~ok
+            words = pc.if_else(pa.array(gone), pa.scalar(None, pa.string()), x)
+            if self.o.labels and v.labels:
+                words = said(words, v.labels)
+            yield v.name, words
+        elif self.o.labels and v.labels:
+            yield v.name, labelled(x, ok, v.labels)
+        else:
+            yield v.name, temporal_array(x, ok, v.kind)
+        if self.o.has_tag(v.name, bool(v.discrete or v.span)):
+            if v.width:
+                yield v.name + self.o.suffix, pc.if_else(pa.array(declared), said(x, v.labels), pa.scalar(None, pa.string()))
+            else:
+                keys, back = np.unique(np.where(declared, x, 0.0), return_inverse=True)
+                words = pa.array([v.labels.get(k) or (plain(k) if k in v.discrete else "MISSING") for k in keys.tolist()], pa.string())
+                yield v.name + self.o.suffix, words.take(pa.array(back.ravel(), mask=~declared))
+
+
+def said(words: pa.Array, labels: dict[str, str]) -> pa.Array:
+    """Labels of texts, else the texts themselves."""
+    if not labels:
+        return words
+    at = pc.index_in(words, value_set=pa.array(list(labels), pa.string()))
+    return pc.coalesce(pa.array(list(labels.values()), pa.string()).take(at), words)
+
+
+def temporal_array(x: np.ndarray, ok: np.ndarray, kind: str) -> pa.Array:
+    if kind == "number":
+        return pa.array(x, mask=~ok)
+    ok = ok & (np.abs(x) < 9e12)
+    whole = np.trunc(np.where(ok, x, 0)).astype(np.int64)
+    if kind == "time":
+        return pa.array(whole * 1_000_000, pa.int64(), mask=~ok)
+    seconds = whole - S.EPOCH
+    if kind == "datetime":
+        return pa.array(seconds * 1_000_000, pa.timestamp("us"), mask=~ok)
+    days = np.sign(seconds) * (np.abs(seconds) // 86_400)  # toward zero
+    ok = ok & (days >= -719162) & (days <= 2932896)  # beyond the calendar there is no date
+    return pa.array(np.where(ok, days, 0).astype(np.int32), pa.int32(), mask=~ok).cast(pa.date32())
 
 
 def scan_sav(spark: SparkSession, path: str, **options) -> DataFrame:
-    spark.dataSource.register(SavSource)
-    reader = spark.read.format("sav")
-    for k, v in options.items():
-        if v is not None:
-            reader = reader.option(k, ",".join(v) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else v)
-    return reader.option("path", path).load()
+    return load(spark, SavSource, path, options)
 
 
 # ---- sink -----------------------------------------------------------------------------------
 
 
 def write_sav(df: DataFrame, path: str, value_labels: dict[str, dict[float, str]] | None = None, variable_labels: dict[str, str] | None = None, order_by: list[str] | None = None) -> list[S.Variable]:
-    """Writes one plain .sav file; widths come from one aggregation over the frame."""
-    value_labels, variable_labels = value_labels or {}, variable_labels or {}
+    """Writes one plain .sav file; widths come from one aggregation over the frame.
+
+    Text is Windows-1252 where all of it can be, else UTF-8. Labels in the schema's metadata win over those given.
+    """
+    value_labels, variable_labels = sink.labels_of(df, value_labels, variable_labels)
     if order_by:
         df = df.orderBy(*order_by)
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    aggs = [F.count("*").alias("rows")]
+    aggs = [F.lit(0).alias("none")]
     for k, c in enumerate(strings):
-        aggs += [F.max(F.octet_length(f"`{c}`")).alias(f"w{k}"), F.max(F.octet_length(f"`{c}`") != F.length(f"`{c}`")).alias(f"u{k}")]
+        aggs += [F.max(F.octet_length(f"`{c}`")).alias(f"w{k}"), F.max(F.length(f"`{c}`")).alias(f"n{k}"), F.max(F.col(f"`{c}`").rlike(S.NOT_WESTERN)).alias(f"u{k}")]
     got = df.agg(*aggs).first()
     words = [*df.columns, *variable_labels.values(), *(w for s in value_labels.values() for w in s.values())]
-    utf8 = any(got[f"u{k}"] for k in range(len(strings))) or not all(w.isascii() for w in words)
+    utf8 = any(got[f"u{k}"] for k in range(len(strings))) or any(w != w.encode("cp1252", "ignore").decode("cp1252") for w in words)
     variables, columns, cell = [], [], 0
     for f, short in zip(df.schema.fields, S.short_names(df.columns), strict=True):
         c, t, width, shown = F.col(f"`{f.name}`"), f.dataType, 0, 5 << 16 | 8 << 8 | 2
         if len(f.name.encode()) > 64:
             raise S.SpssError(f"{f.name}: names have 64 bytes at most")
         if isinstance(t, T.StringType):
-            width = max(1, got[f"w{strings.index(f.name)}"] or 1)
+            width = max(1, got[f"{'w' if utf8 else 'n'}{strings.index(f.name)}"] or 1)
             if width > 255:
                 raise S.SpssError(f"{f.name}: strings of more than 255 bytes are not written")
             if f.name in value_labels:
@@ -166,16 +163,11 @@ def write_sav(df: DataFrame, path: str, value_labels: dict[str, dict[float, str]
         columns.append(c.alias(f.name))
         cell += v.cells
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [(a.fill_null("" if pa.types.is_string(a.type) else 0).to_numpy(zero_copy_only=False), a.is_valid().to_numpy(zero_copy_only=False)) for a in b.columns]
-            yield pa.RecordBatch.from_arrays([pa.array([S.encode(variables, cols)], pa.binary())], names=["block"])
-
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    with system.open_output_stream(inner) as out:
-        out.write(S.head(variables, got["rows"], utf8))
-        for r in df.select(*columns).mapInArrow(run, "block binary").toLocalIterator():  # partitions in order, one at a time
-            out.write(bytes(r["block"]))
+    folder = sink.parts_folder(path)
+    try:
+        parts = sink.write_parts(df.select(*columns), folder, 1, lambda b, first: (S.encode(variables, b.columns, utf8),))
+        head = S.head(variables, sum(p.rows for p in parts), utf8)
+        sink.assemble(df.sparkSession, path, folder, parts, [head, b""], [8 * cell], [None])
+    finally:
+        sink.drop_folder(folder)
     return variables
