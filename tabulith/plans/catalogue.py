@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +10,9 @@ from tabulith.functions import missing as M
 from tabulith.functions import temporal as D
 from tabulith.operators import compress as C
 from tabulith.operators.nulls import informative_nulls
+from tabulith.plans import files
 from tabulith.sources import dta, sas_script, sav, scan
+from tabulith.sources.base import shared_folder
 
 #: What values are taken modulo by, so that days and half-years from 1960 on end before the year 10,000.
 DAYS, PERIODS = 1_000_000, 16_000
@@ -22,16 +21,7 @@ SEGMENTS = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MAC
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one in local mode."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="tabulith-")
-    top = top.removeprefix("file://").rstrip("/")
-    import os
-
-    os.makedirs(f"{top}/files", exist_ok=True)
-    return f"{top}/files/{uuid.uuid4().hex}-{name}"
+    return f"{shared_folder(spark, 'tabulith-files')}/{name}"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +64,7 @@ def scan_dta_part(spark, sf_dir):
 
 def scan_dta_datetime(spark, sf_dir):
     got = stored(spark, read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderkey"])
-    return got.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("ordered"))
+    return got.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSS").alias("ordered"))
 
 
 def scan_projection_reorder(spark, sf_dir):
@@ -128,12 +118,6 @@ def decode_labels_string(spark, sf_dir):
 
 
 def decode_labels_float(spark, sf_dir):
-    df = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("double") / 2).alias("half"))
-    return L.decode_labels(df, {"half": {0.5: "least", 25.0: "most"}}).where("p_partkey % 2 = 0 OR half IN ('least', 'most')").where("half NOT LIKE '%.%'")
-
-
-def decode_labels_float_whole(spark, sf_dir):
-    """Every row, halves with a decimal point too."""
     df = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("double") / 2).alias("half"))
     return L.decode_labels(df, {"half": {0.5: "least", 25.0: "most"}})
 
@@ -144,13 +128,6 @@ def temporal_sas(spark, sf_dir):
 
 
 def temporal_stata(spark, sf_dir):
-    c = F.col("o_orderkey").cast("double")
-    units = [D.stata_date(c, u).alias("as_" + u) for u in "dmqh"]
-    day = F.date_format(D.stata_datetime(c * 60_000), "yyyy-MM-dd HH:mm:ss")
-    return read(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", *units, day.alias("as_datetime"), D.stata_time(-c * 1000).alias("as_time_us"))
-
-
-def temporal_stata_whole(spark, sf_dir):
     """Every order; the values of days and periods are dealt anew so that none leaves the calendar."""
     c = F.col("o_orderkey").cast("double")
     units = [D.stata_date(c % PERIODS, u).alias("as_" + u) for u in "mqh"]
@@ -159,12 +136,6 @@ def temporal_stata_whole(spark, sf_dir):
 
 
 def temporal_spss(spark, sf_dir):
-    c = F.col("o_orderkey").cast("double") * 86_400 + D.SPSS_SECONDS + 61
-    day = F.date_format(D.spss_datetime(c), "yyyy-MM-dd HH:mm:ss")
-    return read(spark, sf_dir, "orders").where("o_orderkey < 30000").select("o_orderkey", D.spss_date(c).alias("as_date"), day.alias("as_datetime"), D.spss_time(F.col("o_orderkey").cast("double")).alias("as_time_us"))
-
-
-def temporal_spss_whole(spark, sf_dir):
     """Every order; the values of days are dealt anew so that none leaves the calendar."""
     c = (F.col("o_orderkey") % DAYS).cast("double") * 86_400 + D.SPSS_SECONDS + 61
     day = F.date_format(D.spss_datetime(c), "yyyy-MM-dd HH:mm:ss")
@@ -249,13 +220,6 @@ def scan_sav_group_agg(spark, sf_dir):
 
 
 def scan_sav_labels(spark, sf_dir):
-    df = read(spark, sf_dir, "part").select("p_partkey", "p_size")
-    got = stored_sav(spark, df, ["p_partkey"], {"p_size": {1: "least", 50: "most"}}, labels=True, offset=5, limit=300)
-    return scan.cast_known(got, {"p_partkey": "bigint"})
-
-
-def scan_sav_labels_whole(spark, sf_dir):
-    """Every row's label, without offset and limit."""
     df = read(spark, sf_dir, "part").select("p_partkey", "p_size")
     got = stored_sav(spark, df, ["p_partkey"], {"p_size": {1: "least", 50: "most"}}, labels=True)
     return scan.cast_known(got, {"p_partkey": "bigint"})
@@ -273,9 +237,8 @@ ORACLES = {
     "scan_group_agg": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "scan_dta_roundtrip": "SELECT * FROM customer",
     "scan_sav_roundtrip": "SELECT * FROM customer",
-    "scan_sav_labels": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'least' WHEN 50 THEN 'most' ELSE CAST(p_size AS VARCHAR) END AS p_size FROM part ORDER BY p_partkey LIMIT 300 OFFSET 5",
     "scan_dta_part": "SELECT * FROM part",
-    "scan_dta_datetime": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ordered FROM orders",
+    "scan_dta_datetime": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%g') AS ordered FROM orders",
     "scan_projection_reorder": "SELECT n_regionkey, n_name FROM nation",
     "scan_offset_limit": "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 101 OFFSET 17",
     "scan_join": "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
@@ -285,10 +248,7 @@ ORACLES = {
     "empty_string_as_null": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer",
     "decode_labels_int": "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Automobile' WHEN 'BUILDING' THEN 'Building' WHEN 'FURNITURE' THEN 'Furniture' WHEN 'HOUSEHOLD' THEN '4' WHEN 'MACHINERY' THEN 'Machinery' END AS segment FROM customer",
     "decode_labels_string": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders",
-    "decode_labels_float": "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'least' WHEN p_size = 50 THEN 'most' ELSE CAST(p_size // 2 AS VARCHAR) END AS half FROM part WHERE (p_partkey % 2 = 0 OR p_size IN (1, 50)) AND (p_size % 2 = 0 OR p_size = 1)",
-    "temporal_sas": "SELECT l_orderkey, l_linenumber, CAST(DATE '1960-01-01' + CAST(CASE WHEN l_orderkey + 0.25 <= 156935 THEN l_orderkey ELSE l_orderkey // 86400 END AS INTEGER) AS DATE) AS as_date, strftime(TIMESTAMP '1960-01-01' + to_seconds(l_orderkey * 1000 + 250), '%Y-%m-%d %H:%M:%S') AS as_datetime, l_orderkey * 1000000 + 250000 AS as_time_us FROM lineitem",
-    "temporal_stata": "SELECT o_orderkey, CAST(DATE '1960-01-01' + CAST(o_orderkey AS INTEGER) AS DATE) AS as_d, CAST(DATE '1960-01-01' + to_months(CAST(o_orderkey AS INTEGER)) AS DATE) AS as_m, CAST(DATE '1960-01-01' + to_months(CAST(o_orderkey * 3 AS INTEGER)) AS DATE) AS as_q, CAST(DATE '1960-01-01' + to_months(CAST(o_orderkey * 6 AS INTEGER)) AS DATE) AS as_h, strftime(TIMESTAMP '1960-01-01' + to_minutes(o_orderkey), '%Y-%m-%d %H:%M:%S') AS as_datetime, ((86400000 - (o_orderkey * 1000) % 86400000) % 86400000) * 1000 AS as_time_us FROM orders WHERE o_orderkey < 3000",
-    "temporal_spss": "SELECT o_orderkey, CAST(DATE '1970-01-01' + CAST(o_orderkey AS INTEGER) AS DATE) AS as_date, strftime(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 86400 + 61), '%Y-%m-%d %H:%M:%S') AS as_datetime, o_orderkey * 1000000 AS as_time_us FROM orders WHERE o_orderkey < 30000",
+    "temporal_sas": "SELECT l_orderkey, l_linenumber, CAST(DATE '1960-01-01' + CAST(CASE WHEN l_orderkey + 0.25 <= 160588 THEN l_orderkey ELSE l_orderkey // 86400 END AS INTEGER) AS DATE) AS as_date, strftime(TIMESTAMP '1960-01-01' + to_seconds(l_orderkey * 1000 + 250), '%Y-%m-%d %H:%M:%S') AS as_datetime, l_orderkey * 1000000 + 250000 AS as_time_us FROM lineitem",
     "stata_missing_byte": f"SELECT l_orderkey, l_linenumber, CASE WHEN c < 101 THEN c END AS v, {STATA_CODE} AS tag FROM (SELECT l_orderkey, l_linenumber, l_partkey % 128 AS c FROM lineitem)",
     "spss_missing_range": "SELECT p_partkey, CASE WHEN p_size = 50 OR p_size BETWEEN 1 AND 5 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS v, CASE WHEN p_size = 2 THEN 'two' WHEN p_size = 50 THEN '50' WHEN p_size BETWEEN 1 AND 5 THEN 'MISSING' END AS tag FROM part",
     "inform_separate": f"SELECT p_partkey, CASE WHEN c < 101 THEN c END AS code, {STATA_CODE} AS code_null {TAGGED}",
@@ -299,20 +259,17 @@ ORACLES = {
     "name_mangling": "SELECT * FROM (VALUES ('ok', 'ok'), ('1st', '_1st'), ('for', '_for'), ('a b', 'a_b'), ('a_b', '_0a_b'), (repeat('x', 40), repeat('x', 32)), ('str12', '_str12'), ('émile', '_mile')) AS t(given, made)",
     "metadata_rows": "SELECT * FROM (VALUES ('n_nationkey', 118, 25, 'byt'), ('n_name', 118, 25, 'str'), ('n_regionkey', 118, 25, 'byt')) AS t(name, version, n, kind)",
     "sas_script_csv": "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + 315619200 AS o_orderdate FROM orders",
-}
-# Over whole tables, where the queries of these names without _whole take part of the rows.
-ORACLES |= {
-    "scan_sav_labels_whole": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'least' WHEN 50 THEN 'most' ELSE CAST(p_size AS VARCHAR) END AS p_size FROM part",
-    "decode_labels_float_whole": "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'least' WHEN p_size = 50 THEN 'most' WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS half FROM part",
-    "temporal_stata_whole": f"SELECT o_orderkey, CAST(DATE '1960-01-01' + CAST(o_orderkey % {DAYS} AS INTEGER) AS DATE) AS as_d, CAST(DATE '1960-01-01' + to_months(CAST(n AS INTEGER)) AS DATE) AS as_m, CAST(DATE '1960-01-01' + to_months(CAST(n * 3 AS INTEGER)) AS DATE) AS as_q, CAST(DATE '1960-01-01' + to_months(CAST(n * 6 AS INTEGER)) AS DATE) AS as_h, strftime(TIMESTAMP '1960-01-01' + to_minutes(o_orderkey), '%Y-%m-%d %H:%M:%S') AS as_datetime, ((86400000 - (o_orderkey * 1000) % 86400000) % 86400000) * 1000 AS as_time_us FROM (SELECT o_orderkey, o_orderkey % {PERIODS} AS n FROM orders)",
-    "temporal_spss_whole": f"SELECT o_orderkey, CAST(DATE '1970-01-01' + CAST(o_orderkey % {DAYS} AS INTEGER) AS DATE) AS as_date, strftime(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey % {DAYS} * 86400 + 61), '%Y-%m-%d %H:%M:%S') AS as_datetime, o_orderkey * 1000000 AS as_time_us FROM orders",
+    "scan_sav_labels": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'least' WHEN 50 THEN 'most' ELSE CAST(p_size AS VARCHAR) END AS p_size FROM part",
+    "decode_labels_float": "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'least' WHEN p_size = 50 THEN 'most' WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS half FROM part",
+    "temporal_stata": f"SELECT o_orderkey, CAST(DATE '1960-01-01' + CAST(o_orderkey % {DAYS} AS INTEGER) AS DATE) AS as_d, CAST(DATE '1960-01-01' + to_months(CAST(n AS INTEGER)) AS DATE) AS as_m, CAST(DATE '1960-01-01' + to_months(CAST(n * 3 AS INTEGER)) AS DATE) AS as_q, CAST(DATE '1960-01-01' + to_months(CAST(n * 6 AS INTEGER)) AS DATE) AS as_h, strftime(TIMESTAMP '1960-01-01' + to_minutes(o_orderkey), '%Y-%m-%d %H:%M:%S') AS as_datetime, ((86400000 - (o_orderkey * 1000) % 86400000) % 86400000) * 1000 AS as_time_us FROM (SELECT o_orderkey, o_orderkey % {PERIODS} AS n FROM orders)",
+    "temporal_spss": f"SELECT o_orderkey, CAST(DATE '1970-01-01' + CAST(o_orderkey % {DAYS} AS INTEGER) AS DATE) AS as_date, strftime(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey % {DAYS} * 86400 + 61), '%Y-%m-%d %H:%M:%S') AS as_datetime, o_orderkey * 1000000 AS as_time_us FROM orders",
 }
 ORACLES["scan_sav_group_agg"] = ORACLES["scan_group_agg"]
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLES}
+    return {name: globals()[name] for name in ORACLES} | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | files.ORACLES

@@ -1 +1 @@
-
+"""Statistical files as streams."""
