@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tabulith-")
         spark.sparkContext.setCheckpointDir(path)
@@ -33,7 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tabulith/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which goes when the application ends."""
+    sc = spark.sparkContext
+    top = f"{shared_dir(spark)}/tabulith-{sc.applicationId}"
+    if getattr(sc, "_tabulith_dir", None) != top:
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(top)
+        system = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
+        system.mkdirs(hadoop)
+        system.deleteOnExit(hadoop)
+        sc._tabulith_dir = top
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def numbered(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, str]:
+    """documents, written once with a number that tells every row, equal ones too; and that column's name."""
+    (row,) = fresh(documents, "row_")
+    return staged(spark, documents.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -149,16 +165,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over links (a, b). Labels spread and are shortened
-    by their own labels in turn; every round is written to the shared folder."""
+    by their own labels in turn; every round is written to the shared folder. The labels of nodes with
+    a thousandth of all links are broadcast, so that a star's middle is not one task's work."""
     edges = staged(spark, links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = staged(spark, edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        seen = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        near = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = near.join(jump, "to").select("node", "old", F.least("to", "far").alias("label"))
+    total = edges.count()
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count("*").alias("degree"))
+    labels = staged(spark, labels, "labels")
+    while total:
+        seen = join_groups(edges, labels.withColumnRenamed("node", "b"), ["b"], "degree", max(total, 1_000_000)).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = staged(spark, labels.join(seen, "node").select("node", "degree", F.col("label").alias("old"), F.least("label", "near").alias("to")), "labels")
+        # A label is the node of a whole component, so it is counted before it is looked up.
+        jump = near.groupBy("to").agg(F.count("*").alias("held")).join(labels.select(F.col("node").alias("to"), F.col("label").alias("far")), "to")
+        new = join_groups(near, jump, ["to"], "held", max(total, 1_000_000)).select("node", "degree", "old", F.least("to", "far").alias("label"))
         new = staged(spark, new, "labels")
         moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
+        labels = new.select("node", "label", "degree")
         if not moved:
-            return labels
+            break
+    return labels.select("node", "label")
