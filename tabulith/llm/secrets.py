@@ -2,14 +2,20 @@
 
 Base findings stand alone: assignments, access identifiers and long hexadecimal runs. Weak
 candidates (identifier-like names, high-entropy strings, service endpoints) are reported only
-when complementary parts co-occur: within one document the parts of each scope (a paragraph, or
-the whole text where it has no blank line) are joined, however much text lies between them, or
-with `reach` only those at most so many code points from the next, and a group is reported when it holds parts of at least two different roles
-of which one is a key part. Documents are independent, so the scan is one Arrow pass with no
-shuffle; spans are offsets in code points with an exclusive end.
-
-Defined results: null or empty text gives no findings and the digest of the empty string;
-every text is scanned whole; repeated rows each give a row; a null doc_id is carried along.
+when a complementary part co-occurs: an interval join pairs each weak part with the parts of the
+other side (secrets with identities and endpoints) in its scope, a paragraph, or the whole text
+where it has no blank line. With `reach`, the two must also lie at most so many code points apart.
+The two parts of a pair share no character: an opaque string inside an identity, an endpoint or a
+base finding is no part of its own, and no part stands between two others to connect them.
+
+Documents are independent, so the scan is one Arrow pass with no shuffle; within a document the
+join looks up sorted ends, so its time grows with n log n parts. Spans are offsets in code points
+with an exclusive end.
+
+Defined results: null or empty text gives no findings and the digest of the empty string; every
+text is scanned whole, whatever its length; spans that begin at one place are listed by kind;
+repeated rows each give a row; a null doc_id is carried along; an empty table gives an empty
+result; other columns are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,36 +79,63 @@ def weak_spans(text: str, low: bytes) -> list[tuple[int, int, str]]:
     return found
 
 
+class Parts:
+    """Spans of one side, to look up whether one lies near a place."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts = sorted(s for s, _ in spans)
+        self.ends = sorted(e for _, e in spans)
+
+    def near(self, start: int, end: int, low: int, high: int) -> bool:
+        """Whether a span lies within low..high, wholly before start or wholly after end."""
+        k = bisect_left(self.starts, end)
+        if k < len(self.starts) and self.starts[k] <= high:
+            return True
+        k = bisect_right(self.ends, start)
+        return k > 0 and self.ends[k - 1] >= low
+
+
+def covered(spans: list[tuple[int, int]]):
+    """A function that tells whether a span meets any of `spans`."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def meets(s: int, e: int) -> bool:
+        k = bisect_left(starts, e) - 1
+        return k >= 0 and ends[k] > s
+
+    return meets
+
+
 def linked(text: str, low: bytes, base: list[tuple[int, int, str]], reach: int | None) -> list[tuple[int, int, str]]:
-    """Weak spans that an interval join connects with complementary parts."""
+    """Weak spans that an interval join pairs with complementary parts."""
     weak = weak_spans(text, low)
     if not base and not weak:
         return []
-    if weak or any(k != "hex" for _, _, k in base):
-        weak += [(m.start(), m.end(), "weak_secret") for m in OPAQUE.finditer(text) if opaque(m[0])]
-    weak = [w for w in weak if not any(b[0] < w[1] and w[0] < b[1] for b in base)]
+    taken = covered([(s, e) for s, e, _ in base])
+    weak = [w for w in weak if not taken(w[0], w[1])]
+    if weak or any(ROLES[k] != "secret" for _, _, k in base):
+        taken = covered([(s, e) for s, e, _ in [*base, *weak]])
+        weak += [(m.start(), m.end(), "weak_secret") for m in OPAQUE.finditer(text) if opaque(m[0]) and not taken(m.start(), m.end())]
     if not weak:
         return []
-    cuts = [m.start() for m in SCOPE.finditer(text)]
-    parts = sorted([*base, *weak])
-    out, group, end, cut = [], [], -1, 0
-
-    def close() -> None:
-        roles = {ROLES[k] for _, _, k in group}
-        if len(roles) >= 2 and ("secret" in roles):
-            out.extend(g for g in group if g[2].startswith("weak"))
-
-    for p in parts:  # a sweep over sorted starts is the interval join of the widened parts
-        crossed = False
-        while cut < len(cuts) and cuts[cut] <= p[0]:
-            crossed = crossed or cuts[cut] >= end
-            cut += 1
-        if group and (reach is not None and p[0] > end + reach or crossed):
-            close()
-            group = []
-        group.append(p)
-        end = max(end, p[1]) if len(group) > 1 else p[1]
-    close()
+    edges = [0, *(m.start() for m in SCOPE.finditer(text)), len(text) + 1]
+    scopes: dict[int, dict[bool, list]] = {}
+    for part in [*base, *weak]:
+        at = bisect_right(edges, part[0]) - 1
+        scopes.setdefault(at, {True: [], False: []})[ROLES[part[2]] == "secret"].append(part)
+    out = []
+    for sides in scopes.values():
+        for secret in (True, False):
+            found = [p for p in sides[secret] if p[2].startswith("weak")]
+            if found and sides[not secret]:
+                other = Parts([(s, e) for s, e, _ in sides[not secret]])
+                out += [p for p in found if other.near(p[0], p[1], -1 if reach is None else p[0] - reach, len(text) if reach is None else p[1] + reach)]
     return out
 
 
