@@ -6,46 +6,57 @@ with its place in the rendered text and, where the speaker is the assistant, the
 content, which is what a loss mask covers. Segments of a perspective joined by position are the
 rendered dialogue.
 
-Only DataFrame operations are used. Places are prefix sums in two levels, inside blocks of
-turns and over the blocks, so that a conversation of any length is not one task's work.
+Only DataFrame operations are used. Turns are sorted over all tasks and cut where a task's share
+ends, so a conversation of any length, even one whose turns have all the same number, lies in
+pieces of at most such a share. Participants are joined with pieces, and places are prefix sums in
+two levels, inside pieces and over them.
 
-Defined results: a null role is the speaker "unknown", null text is empty; turns are ordered by
-turn, role and text with nulls first; repeated rows stay and follow each other; a null conv_id is
-a conversation of its own; a conversation of system turns alone has no perspective; an empty table
-gives an empty result.
+Defined results: a null role is the speaker "unknown", and one participant with a speaker of that
+name; null text is empty; turns are ordered by turn, role and text with nulls first, and ties of all
+three are equal turns, whose order makes no difference; texts that agree in their first 64
+characters are ordered by their hash; repeated rows stay and follow each other; a
+null conv_id is a conversation of its own; a conversation of system turns alone has no perspective;
+texts of any length are rendered whole; marks of the format inside a text are left as they are, since
+places tell where each segment lies; an empty table gives an empty result; other columns are never
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Turns whose numbers fall in one span of so many make a block.
-BLOCK = 256
+from tabulith.llm.common import shuffle_width, staged
+
 # The marks of the rendered format.
 OPEN, NAME, BREAK, CLOSE = "<|start|>", " name=", "\n", "<|end|>\n"
 SYSTEM = "system"
 
 
-def rotate(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
+def rotate(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """One row per conversation, perspective and turn."""
     turns = conversations.select(
+        # As a key of its own a null conv_id meets itself.
+        F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("none")).alias("k"),
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    people = turns.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    # As a key of its own a null conv_id meets itself.
-    key = lambda df, name: df.withColumn(name, F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
-    seen = key(turns, "k").join(key(people, "k").drop("conv_id"), "k")
+    # What sorts is short, since samples of it come to the driver; chance cuts between equal turns.
+    turns = turns.withColumn("t64", F.substring("text", 1, 64)).withColumn("th", F.xxhash64("text"))
+    turns = turns.repartitionByRange(shuffle_width(spark), "k", "turn", "speaker", "t64", "th", F.rand(7))
+    turns = staged(spark, turns.withColumn("b", F.spark_partition_id()), "turns")
+    people = turns.where(F.col("speaker") != SYSTEM).select("k", F.col("speaker").alias("perspective")).distinct()
+    pieces = turns.select("k", "b").distinct()
+    seen = turns.join(pieces.join(people, "k"), ["k", "b"])
     mine = F.col("speaker") == F.col("perspective")
     head = F.when(F.col("speaker") == SYSTEM, F.lit(OPEN + SYSTEM + BREAK)).when(mine, F.lit(OPEN + "assistant" + BREAK)).otherwise(F.concat(F.lit(OPEN + "user" + NAME), "speaker", F.lit(BREAK)))
     seen = seen.select(
-        "k", "conv_id", "perspective", "turn", "speaker", "text", mine.alias("masked"), head.alias("head"), F.concat(head, "text", F.lit(CLOSE)).alias("segment"), F.floor(F.coalesce("turn", F.lit(-1)) / block).alias("b")
+        "k", "conv_id", "perspective", "turn", "speaker", "text", mine.alias("masked"), head.alias("head"), F.concat(head, "text", F.lit(CLOSE)).alias("segment"), "b", "t64", "th"
     )
     seen = seen.withColumn("size", F.length("segment").cast("long"))
-    inside = Window.partitionBy("k", "perspective", "b").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("k", "perspective", "b").orderBy("turn", "speaker", "t64", "th", "text").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("k", "perspective").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = seen.groupBy("k", "perspective", "b").agg(F.sum("size").alias("whole"))
     blocks = blocks.select("k", "perspective", "b", F.coalesce(F.sum("whole").over(over), F.lit(0)).alias("base"))

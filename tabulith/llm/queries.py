@@ -21,7 +21,7 @@ def op2_bm25_decontamination(spark, sf_dir):
 
 
 def op3_perspective_rotation(spark, sf_dir):
-    return chat.rotate(_read(spark, sf_dir, "conversations"))
+    return chat.rotate(spark, _read(spark, sf_dir, "conversations"))
 
 
 def op4_digest_index_dedup(spark, sf_dir):

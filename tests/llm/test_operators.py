@@ -187,7 +187,7 @@ def test_decontamination(spark):
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, None, "x"), (2, None, "ann", "y"), (None, 1, "ann", "z"), (None, 1, "ann", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS k", "2 AS size")
-    got = chat.rotate(df).collect()
+    got = chat.rotate(spark, df).collect()
     assert len(got) == 4 * 3 + 1 + 2
     for who in ("ann", "bob", "unknown"):
         segs = sorted((r for r in got if r.conv_id == 1 and r.perspective == who), key=lambda r: r.char_start)
@@ -197,7 +197,7 @@ def test_chat(spark):
             assert (r.mask_start is not None) == (r.speaker == who)
             if r.mask_start is not None:
                 assert text[r.mask_start : r.mask_end] == {"ann": "hi", "bob": "", "unknown": "x"}[who]
-    assert chat.rotate(df.limit(0)).count() == 0
+    assert chat.rotate(spark, df.limit(0)).count() == 0
 
 
 def test_licenses(spark):
