@@ -5,20 +5,27 @@ of its characters inside links, and stop-word density: long prose is content; bl
 mostly links, or that stand in a boilerplate region of the page (navigation, header outside the
 article, footer, sidebar, form, advert, notice, comments), are not; short or unclear blocks stay
 ambiguous. Pass two gives each ambiguous block the label of its nearest decided neighbours of
-the same region: content if both sides agree on it or the nearer one does.
+the same region: where both sides agree that one, else the nearer's, and content at equal distance.
 
-Where a page marks its article (<article> or <main>), ambiguous blocks inside it that have no
-decided neighbour count as content; without such a mark the whole body is searched.
+Where a page marks its article (<article> or <main>), only blocks inside it are looked at, and
+ambiguous ones that have no decided neighbour count as content; without such a mark the whole
+body is searched.
+
+Tags are read as browsers read them, in one pass: time grows with a page's length, whatever is in
+it. An attribute's quote that no fitting quote closes (none follows, or what follows it cannot
+follow a value) ends at the tag's first ">"; a tag that never ends swallows the rest of the page.
 
 Defined results: null, empty or mark-up-only html gives empty text; text outside any tag is a
-block; unclosed tags end with their parent; pages of any length are read whole; repeated rows
-each give a row.
+block; unclosed tags end with their parent; pages of any length are read whole; blocks at equal
+distance decide as above; repeated rows each give a row; an empty table gives an empty result;
+other columns are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,13 +54,13 @@ STOP = frozenset(
     "als am auf aus bei das dem den der des die durch ein eine einen einer er es für hat ich im ist mit nicht noch oder sich sie sind so und über um vom von war wie zu zum zur "
     "al como con del el ella entre era esta este fue ha hay lo los las más muy no o para pero por su sus también una uno y".split()
 )
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.I | re.S,
-)
+RAW_SET = frozenset(RAW)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+STOPS = re.compile(r"[>\"']")
 #: One attribute with its value, or a quoted string that belongs to none.
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|"[^"]*"|'[^']*'""")
+AFTER_VALUE = " \t\n\f\r/>"
 SPLIT = re.compile(r"[^a-z]+")
 WHITE = re.compile(r"\s+")
 
@@ -69,6 +76,51 @@ class Block:
         self.text, self.links, self.away, self.inside, self.heading, self.label = text, links, away, inside, heading, None
 
 
+def tokens(page: str) -> Iterator[tuple[str, bool, str, int, int]]:
+    """Tags as (name in small letters, whether it ends, attributes, first place, place after it); comments,
+    declarations and elements that are not text have no name. Every character is looked at a fixed number of times."""
+    at, last = 0, {q: page.rfind(q) for q in "\"'>"}
+    while (at := page.find("<", at)) >= 0:
+        start, m = at, NAME.match(page, at + 1)
+        if not m:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = end + 3 if end >= 0 else len(page)
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                at += 1  # a sign in the text
+                continue
+            yield "", False, "", start, at
+            continue
+        end = tag_end(page, m.end(), last)
+        name, attr, at = m[0].lower(), page[m.end() : end], min(len(page), end + 1)
+        if name in RAW_SET:
+            close = RAW_END[name].search(page, at)
+            at = close.end() if close else len(page)
+            yield "", False, "", start, at
+        else:
+            yield name.removeprefix("/"), name[0] == "/", attr, start, at
+
+
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The place of the ">" that ends a tag, or the page's end; `last` has the last place of each sign."""
+    while at <= last[">"] and (m := STOPS.search(page, at)):
+        k, sign = m.start(), m[0]
+        if sign == ">":
+            return k
+        at = k + 1
+        if page[max(0, k - 64) : k].rstrip()[-1:] != "=":
+            continue  # a quote counts only where a value begins
+        close = page.find(sign, at) if at <= last[sign] else -1
+        if close < 0 or page[close + 1 : close + 2] not in AFTER_VALUE:
+            end = page.find(">", at)
+            return end if end >= 0 else len(page)
+        at = close + 1
+    return len(page)
+
+
 def marked_away(tag: str, attr: str, inside: bool) -> bool:
     if tag in AWAY or tag == "header" and not inside:
         return True
@@ -86,6 +138,8 @@ def marked_away(tag: str, attr: str, inside: bool) -> bool:
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, away, inside an article
+    levels: list[Counter] = [Counter()]  # open tags that are no blocks, by the block they stand in
+    blocks_open: Counter = Counter()
     parts: list[str] = []
     links = 0
     in_link = 0
@@ -107,14 +161,29 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 links += len(piece.strip())
 
+    def push(entry: tuple[str, bool, bool]) -> None:
+        stack.append(entry)
+        if entry[0] in BLOCK:
+            blocks_open[entry[0]] += 1
+            levels.append(Counter())
+        else:
+            levels[-1][entry[0]] += 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        if tag in BLOCK:
+            blocks_open[tag] -= 1
+            levels.pop()
+        else:
+            levels[-1][tag] -= 1
+        return tag
+
     at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for tag, ends, attr, start, stop in tokens(page):
+        add(page[at:start])
+        at = stop
         if not tag:
             continue
-        tag, ends = tag.lower(), bool(m["end"])
         if tag in BLOCK:
             flush()
         if tag == "a":
@@ -122,20 +191,18 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break  # an inline end tag does not close blocks
-        elif tag in BLOCK or marked_away(tag, m["attr"], inside):
+            # An end tag of no open element is passed over; one that is no block closes no blocks.
+            if blocks_open[tag] if tag in BLOCK else levels[-1][tag]:
+                while pop() != tag:
+                    pass
+        elif tag in BLOCK or marked_away(tag, attr, inside):
             if tag in ("p", "li", "dt", "dd", "option") or tag in HEADINGS:
                 while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "option")):
-                    stack.pop()
+                    pop()
             now_inside = tag in ("article", "main") or (stack[-1][2] if stack else False)
-            now_away = (stack[-1][1] if stack else False) or marked_away(tag, m["attr"], now_inside)
-            if not m["attr"].rstrip().endswith("/") or tag in BLOCK:
-                stack.append((tag, now_away, now_inside))
+            now_away = (stack[-1][1] if stack else False) or marked_away(tag, attr, now_inside)
+            if not attr.rstrip().endswith("/") or tag in BLOCK:
+                push((tag, now_away, now_inside))
         away, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         heading = any(t in HEADINGS for t, _, _ in stack[-2:])
     add(page[at:])
@@ -187,7 +254,7 @@ def second_pass(blocks: list[Block]) -> None:
             elif len(near) == 2 and near[0][1] == near[1][1] or len(near) == 1:
                 b.label = near[0][1]
             else:
-                b.label = min(near, key=lambda x: abs(x[0] - i))[1] or b.inside
+                b.label = min(near, key=lambda x: (abs(x[0] - i), not x[1]))[1]
 
 
 def extract(page: str | None) -> str:
