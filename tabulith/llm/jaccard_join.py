@@ -2,10 +2,11 @@
 
 Two texts whose shingle sets reach the threshold share a token among the first
 n - ceil(t * n) + 1 of each set, under *any* global order of tokens. Three orders are used: by
-rising frequency (from a count sketch of fixed size over all documents, ties by hash), by rising
-hash and by falling hash. Candidates come from the prefixes of the first order, where frequent
-tokens come last, pass length and position bounds, and must share prefix tokens under the other
-two orders as well before their sets are compared.
+rising frequency (from a count sketch over all documents, ties by hash), by rising hash and by
+falling hash. Candidates come from the prefixes of the first order, where frequent tokens come
+last, and pass length and position bounds; then the filters of the other two orders are intersected
+with it: both ends' prefixes under these orders, kept with each node in few bits a token, must meet.
+Only pairs that pass all three orders (and the parity bound, below) get their texts fetched.
 
 Documents with equal sets are one node. All links between nodes are found, though not all pairs
 are looked at: (1) in every group of nodes that share a prefix token each node is compared with
@@ -17,17 +18,22 @@ h shingles at least, so no link is lost.
 
 Postings travel as compressed blocks per part of the token space. Tokens that more than
 `hot` documents hold are dealt over several parts by node; the hubs of those parts are compared
-with one of them, and in step (2) the nodes outside the token's main component are joined with
-all its nodes.
+with one of them. In step (2) tokens with more than `big` nodes leave their part: nodes outside the
+token's main component and all its nodes are dealt into chunks by size and hash, and every pair of
+chunks is a group of its own.
 
 Defined results: lower-casing covers A-Z only, words end at ASCII white space only; texts of
 fewer words than a shingle are one shingle; empty and null texts have no shingle and are linked
 with nothing; rows with a null doc_id are linked with nothing and have a null component; repeated
-rows are copies of each other; empty tables give an empty result; texts are read whole.
+rows are copies of each other; rows that repeat a doc_id with another text are documents of their
+own, whose component is the smallest doc_id among those linked to them; ties between hubs go by
+fingerprint; empty tables give an empty result; texts are read whole, whatever their length; other
+columns are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -36,18 +42,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import WordHashes, components, id_text, join_groups, mix64, shingles, staged, words_of
+from tabulith.llm.common import WordHashes, components, join_groups, mix64, numbered, shingles, staged, words_of
 
-#: Entries of the count sketch: fixed, so that what is broadcast does not grow with the data.
-SKETCH = 1 << 20
+#: Cells of the count sketch: what is broadcast has these bounds whatever the data.
+CELLS = (1 << 20, 1 << 23)
 #: Postings of one part, which one task holds at a time.
 PART_POSTINGS = 2_000_000
-#: Documents of one token from which it is dealt over several parts.
+#: Documents of one token, by the sketch, from which it is dealt over several parts.
 HOT = 1_000_000
+#: Nodes of one token whose pairs one task may compare; above, chunks of so many are compared.
+BIG, CHUNK = 4_000, 2_000
 #: Parity bits of a node, by its size: two a shingle, within these bounds.
 BITS = (64, 2048)
-#: Comparisons of one hub in one task.
-HUB_SHARE = 5_000
+#: Documents whose ids may be broadcast to pick the texts that are compared; more are joined by sorting.
+FEW_IDS = 1_000_000
 
 
 def least_common(nx, ny):
@@ -115,35 +123,73 @@ class ParityBound:
         return out
 
 
+def signature(s: np.ndarray) -> bytes:
+    """The prefixes of a set under rising and falling hash order: 16 bits of a token, 32 in long ones."""
+    p = prefix(len(s))
+    kind = np.uint16 if p <= 128 else np.uint32
+    low, high = (np.unique((x >> np.uint64(8)).astype(kind)) for x in (s[:p], s[-p:]))
+    return bytes([kind().itemsize]) + len(low).to_bytes(4, "little") + low.tobytes() + high.tobytes()
+
+
+def orders(blob: bytes, width: int | None = None) -> tuple[set, set]:
+    """The two prefixes of a signature, in 16 bits if asked for."""
+    size, n = blob[0], int.from_bytes(blob[1:5], "little")
+    x = np.frombuffer(blob, np.uint16 if size == 2 else np.uint32, offset=5)
+    if width == 2 != size:
+        x = x.astype(np.uint16)
+    return set(x[:n].tolist()), set(x[n:].tolist())
+
+
+def orders_meet(x: bytes, y: bytes) -> bool:
+    """Whether both prefixes of two sets can share a token; false only where they share none."""
+    width = min(x[0], y[0])
+    (a, b), (c, d) = orders(x, width), orders(y, width)
+    return not a.isdisjoint(c) and not b.isdisjoint(d)
+
+
 # ---- pass one: nodes and the sketch ---------------------------------------------------------
 
+DESCRIBED = "kind int, doc_id long, row long, fp long, n long, bits binary, sig binary"
 
-def described(documents: DataFrame) -> DataFrame:
-    """kind 0: a document's node (fp, n, parity bits); kind 1: a task's sketch of its shingles."""
-    names = ["kind", "doc_id", "fp", "n", "bits"]
+
+def cells_for(documents: DataFrame) -> int:
+    """Enough cells for a thousand shingles each, within CELLS, by the planner's size of the input."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cells = CELLS[0]
+    while cells < CELLS[1] and cells < min(size, 1 << 50) // 6000:
+        cells *= 2
+    return cells
+
+
+def described(rows: DataFrame, cells_of_sketch: int) -> DataFrame:
+    """kind 0: a document's node (fp, n, parity bits, prefixes); kind 1: a task's sketch of its shingles, in bits."""
+    names = ["kind", "doc_id", "row", "fp", "n", "bits", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(SKETCH, np.int32)
+        hashes, counts = WordHashes(), np.zeros(cells_of_sketch, np.int32)
+        mask = np.uint64(cells_of_sketch - 1)
         for b in batches:
-            fps, ns, cells, bits = [], [], [], []
-            for text in b.column(1):
+            fps, ns, cells, bits, sigs = [], [], [], [], []
+            for text in b.column(2):
                 s = shingles(words_of(text.as_py()), hashes)
-                cells.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
+                cells.append((s & mask).astype(np.int32))
                 fps.append(fingerprint(s))
                 ns.append(len(s))
                 bits.append(parity(s) if len(s) else None)
+                sigs.append(signature(s) if len(s) else None)
             if cells:
-                counts += np.bincount(np.concatenate(cells), minlength=SKETCH).astype(np.int32)
+                seen, times = np.unique(np.concatenate(cells), return_counts=True)
+                counts[seen] += times.astype(np.int32)
             m = len(fps)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(bits, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(bits, pa.binary()), pa.array(sigs, pa.binary())], names=names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
+            none = [pa.nulls(1, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *none, pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.binary())], names=names)
 
-    rows = id_text(documents).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "kind int, doc_id long, fp long, n long, bits binary")
+    return rows.mapInArrow(run, DESCRIBED)
 
 
-def merged_sketch(stage: DataFrame) -> np.ndarray:
+def merged_sketch(stage: DataFrame, cells: int) -> np.ndarray:
     """The sum of all sketches, by a tree of merges of at most 32 at a time."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +207,7 @@ def merged_sketch(stage: DataFrame) -> np.ndarray:
         parts = -(-parts // 32)
         rows = rows.repartition(parts).mapInArrow(merge, "sketch binary")
     got = rows.collect()
-    return np.frombuffer(zlib.decompress(bytes(got[0][0])), np.int32) if got else np.zeros(SKETCH, np.int32)
+    return np.frombuffer(zlib.decompress(bytes(got[0][0])), np.int32) if got else np.zeros(cells, np.int32)
 
 
 # ---- pass two: postings and candidates ------------------------------------------------------
@@ -190,12 +236,13 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(gaps, dtype=np.uint64), pos.astype(np.int64), fps[local], ns[local]
 
 
-def postings(documents: DataFrame, sketch, parts: int, hot: int) -> DataFrame:
+def postings(rows: DataFrame, sketch, parts: int, hot: int) -> DataFrame:
     """Blocks (part, block) of the prefix tokens of every node that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         counts = sketch.value
+        mask = np.uint64(len(counts) - 1)
         held: list[tuple] = []
         size = 0
 
@@ -206,7 +253,7 @@ def postings(documents: DataFrame, sketch, parts: int, hot: int) -> DataFrame:
             doc = np.repeat(np.arange(len(held)), lens)
             pos = np.concatenate([np.arange(k) for k in lens])
             fps, ns = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
-            salts = np.maximum(1, -(-counts[(token & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64) // hot)).astype(np.uint64)
+            salts = np.maximum(1, -(-counts[(token & mask).astype(np.int64)].astype(np.int64) // hot)).astype(np.uint64)
             salt = mix64(fps.view(np.uint64))[doc] % salts
             part = (mix64(token + salt * np.uint64(0x632BE59BD9B4E019)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -217,7 +264,7 @@ def postings(documents: DataFrame, sketch, parts: int, hot: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+            for doc_id, text in zip(b.column(0), b.column(2), strict=True):
                 if not doc_id.is_valid:
                     continue
                 s = shingles(words_of(text.as_py()), hashes)
@@ -230,7 +277,7 @@ def postings(documents: DataFrame, sketch, parts: int, hot: int) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add((fp, n))
-                first = np.argsort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[: prefix(n)]
+                first = np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")[: prefix(n)]
                 held.append((s[first], fp, n))
                 size += len(first)
                 if size >= 1_000_000:
@@ -238,7 +285,6 @@ def postings(documents: DataFrame, sketch, parts: int, hot: int) -> DataFrame:
         if held:
             yield flush()
 
-    rows = id_text(documents).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "part long, block binary")
 
 
@@ -275,9 +321,9 @@ def distinct_pairs(a, an, b, bn) -> np.ndarray:
 PAIR = "a long, an long, b long, bn long"
 
 
-def first_candidates(blocks: DataFrame, sketch, hot: int) -> DataFrame:
-    """kind 0: node with hub; kind 1: the part's postings of shared tokens; kind 2: postings of dealt
-    tokens (a, an: node, bn: place), with b = 1 for the hub of the part."""
+def first_candidates(blocks: DataFrame, sketch, hot: int, big: int) -> DataFrame:
+    """kind 0: node with hub; kind 1: the part's postings of shared tokens; kind 2: postings of tokens that
+    are dealt or have many nodes (a, an: node, bn: place), with b = 1 for the hub of the part."""
 
     def rows(kind: int, part: int, a, an, b, bn, token=None, block: bytes | None = None) -> pa.Table:
         m = len(a)
@@ -289,20 +335,24 @@ def first_candidates(blocks: DataFrame, sketch, hot: int) -> DataFrame:
         part = key[0].as_py()
         token, pos, fp, n = gathered(table.column("block"))
         out = []
-        dealt = sketch.value[(token & np.uint64(SKETCH - 1)).astype(np.int64)] > hot
-        if dealt.any():
+        size = np.diff(runs(token))
+        size = np.repeat(size, size)
+        dealt = sketch.value[(token & np.uint64(len(sketch.value) - 1)).astype(np.int64)] > hot
+        apart = dealt | (size > big)
+        if apart.any():
             head = np.zeros(len(token), np.int64)
             head[runs(token)[:-1]] = 1
-            out.append(rows(2, part, fp[dealt], n[dealt], head[dealt], pos[dealt], token[dealt].view(np.int64)))
-        size = np.diff(runs(token))
-        shared = np.repeat(size >= 2, size)
-        token, pos, fp, n = token[shared], pos[shared], fp[shared], n[shared]
+            out.append(rows(2, part, fp[apart], n[apart], head[apart], pos[apart], token[apart].view(np.int64)))
+        shared = size >= 2
+        token, pos, fp, n, apart = token[shared], pos[shared], fp[shared], n[shared], apart[shared]
         if len(token):
             edge = runs(token)
             hub = np.repeat(edge[:-1], np.diff(edge))
             fits = possible(pos, n, pos[hub], n[hub]) & (np.arange(len(token)) != hub)
             at, to = np.flatnonzero(fits), hub[fits]
             out.append(rows(0, part, *distinct_pairs(fp[to], n[to], fp[at], n[at])))
+            token, pos, fp, n = token[~apart], pos[~apart], fp[~apart], n[~apart]
+        if len(token):
             zero = np.zeros(1, np.int64)
             nodes, local = np.unique(np.stack([fp, n]), axis=1, return_inverse=True)
             out.append(rows(1, part, zero, zero, zero, zero, None, pack(token, local.ravel(), pos, nodes[0], nodes[1])))
@@ -320,19 +370,62 @@ def dealt_hubs(blocks: DataFrame) -> DataFrame:
     return got.where("a <> b OR an <> bn")
 
 
-def dealt_candidates(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes of a dealt token outside its main component, with its nodes in other components."""
-    held = blocks.where("kind = 2").select("token", F.col("a").alias("fp"), F.col("an").alias("n"), F.col("bn").alias("pos")).join(labels, ["fp", "n"])
-    main = held.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    x = held.join(main, "token").where("label <> main").select("token", *(F.col(c).alias("x_" + c) for c in ("fp", "n", "pos", "label")))
-    most = F.least("x_pos", "pos") + 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("n") - F.col("pos")) - 1
-    fits = (F.col("x_label") != F.col("label")) & (5 * F.least("x_n", "n") >= 4 * F.greatest("x_n", "n")) & (9 * most >= 4 * (F.col("x_n") + F.col("n")))
-    one, two = F.struct(F.col("x_fp").alias("f"), F.col("x_n").alias("n")), F.struct(F.col("fp").alias("f"), F.col("n").alias("n"))
-    got = x.join(held, "token").where(fits).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"))
-    return got.select(F.col("p.f").alias("a"), F.col("p.n").alias("an"), F.col("q.f").alias("b"), F.col("q.n").alias("bn"))
-
-
-def later_candidates(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+def across(left: tuple, right: tuple, step: int = 2_000_000) -> np.ndarray:
+    """Pairs of left and right nodes (fp, n, pos, label, place in bound, with the bound last) of different
+    components that pass the bounds, the parity bits' too."""
+    fp, n, pos, label, lo, bound = left
+    fp2, n2, pos2, label2, lo2, _ = right
+    found = []
+    rows = max(1, step // max(1, len(fp2)))
+    for k in range(0, len(fp), rows):
+        x = np.arange(k, min(len(fp), k + rows))[:, None]
+        i, j = np.nonzero(possible(pos[x], n[x], pos2, n2) & (label[x] != label2))
+        i = i + k
+        fits = n[i] + n2[j] - bound.apart(lo[i], lo2[j]) >= 2 * least_common(n[i], n2[j])
+        i, j = i[fits], j[fits]
+        a, an, b, bn = fp[i], n[i], fp2[j], n2[j]
+        swap = (a > b) | (a == b) & (an > bn)
+        if len(i):
+            found.append(distinct_pairs(np.where(swap, b, a), np.where(swap, bn, an), np.where(swap, a, b), np.where(swap, an, bn)))
+    return distinct_pairs(*np.concatenate(found, axis=1)) if found else np.zeros((4, 0), np.int64)
+
+
+def pair_table(got: np.ndarray) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in got], names=["a", "an", "b", "bn"])
+
+
+def dealt_candidates(blocks: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
+    """Nodes of a token of kind 2 outside its main component, with its nodes in other components: both
+    are dealt into chunks of about `chunk`, among nodes of like size, and each pair of chunks is one group."""
+    held = blocks.where("kind = 2").select("token", F.col("a").alias("fp"), F.col("an").alias("n"), F.col("bn").alias("pos"))
+    held = held.groupBy("token", "fp", "n").agg(F.min("pos").alias("pos"))
+    held = held.join(labels, ["fp", "n"]).withColumn("len", F.floor(F.log("n") / math.log(1.25) + 1e-9).cast("int"))
+    sizes = held.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("nodes"))
+    total = 1_000_000
+    held = join_groups(held, sizes.where("nodes > 1"), ["token"], "nodes", total).drop("nodes")
+    outside = held.where("label <> main")
+    ends = ["token", "len"]
+    x = outside.withColumn("len", F.explode(F.array(F.col("len") - 1, "len", F.col("len") + 1)))
+    nx = x.groupBy(*ends).agg(F.count("*").alias("nx"))
+    ny = held.groupBy(*ends).agg(F.count("*").alias("ny"))
+    plan = nx.join(ny, ends).select(*ends, (F.col("nx") + F.col("ny")).alias("size"), F.ceil(F.col("nx") / chunk).cast("int").alias("bx"), F.ceil(F.col("ny") / chunk).cast("int").alias("by"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = [*ends, "cx", "cy", "fp", "n", "pos", "label", "bits"]
+    x = join_groups(x, plan, ends, "size", total).withColumn("cx", F.pmod(F.xxhash64("fp", "n"), "bx").cast("int")).withColumn("cy", upto("by")).select(columns)
+    y = join_groups(held, plan, ends, "size", total).withColumn("cy", F.pmod(F.xxhash64("n", "fp"), "by").cast("int")).withColumn("cx", upto("bx")).select(columns)
+
+    def cross(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pair_table(np.zeros((4, 0), np.int64))
+        bound = ParityBound(left.column(8).to_pylist() + right.column(8).to_pylist())
+        of = lambda t, first: (*(t.column(k).to_numpy() for k in range(4, 8)), np.arange(first, first + t.num_rows), bound)
+        return pair_table(across(of(left, 0), of(right, left.num_rows)))
+
+    named = lambda df, side: df.toDF(*(f"{side}_{c}" for c in columns)).groupBy(*(f"{side}_{c}" for c in columns[:4]))
+    return named(x, "x").cogroup(named(y, "y")).applyInArrow(cross, PAIR)
+
+
+def later_candidates(blocks: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
     """Pairs of a token's nodes that pass the bounds, the parity bits' too, and lie in different components."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,90 +454,97 @@ def later_candidates(blocks: DataFrame, labels: DataFrame) -> DataFrame:
             order = np.lexsort((label, token))
             token, pos, fp, n, label, lo = token[order], pos[order], fp[order], n[order], label[order], lo[order]
             edge = runs(token)
-            size = np.diff(edge)
             mixed = np.flatnonzero(label[edge[:-1]] != label[edge[1:] - 1])
             for r in mixed:
                 s, e = edge[r], edge[r + 1]
                 lab = label[s:e]
                 cut = np.flatnonzero(np.r_[True, lab[1:] != lab[:-1], True])
                 big = int(np.argmax(np.diff(cut)))
-                rest = np.r_[0 : cut[big], cut[big + 1] : e - s] + s
-                every = np.arange(s, e)
-                step = max(1, 2_000_000 // (e - s))
-                for k in range(0, len(rest), step):
-                    x = rest[k : k + step, None]
-                    fits = possible(pos[x], n[x], pos[every], n[every]) & (label[x] != label[every])
-                    i, j = np.nonzero(fits)
-                    i, j = rest[k + i], every[j]
-                    fits = n[i] + n[j] - bound.apart(lo[i], lo[j]) >= 2 * least_common(n[i], n[j])
-                    i, j = i[fits], j[fits]
-                    swap = (fp[i] > fp[j]) | (fp[i] == fp[j]) & (n[i] > n[j])
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    if len(i):
-                        found.append(distinct_pairs(fp[i], n[i], fp[j], n[j]))
-        got = distinct_pairs(*np.concatenate(found, axis=1)) if found else np.zeros((4, 0), np.int64)
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in got], names=["a", "an", "b", "bn"])
+                rest, every = np.r_[0 : cut[big], cut[big + 1] : e - s] + s, np.arange(s, e)
+                of = lambda at: (fp[at], n[at], pos[at], label[at], lo[at], bound)
+                found.append(across(of(rest), of(every)))
+        return pair_table(distinct_pairs(*np.concatenate(found, axis=1)) if found else np.zeros((4, 0), np.int64))
 
     held = blocks.where("kind = 1").select("part", "block")
     nodes = held.mapInArrow(members, "part long, fp long, n long").join(labels, ["fp", "n"])
     got = held.groupBy("part").cogroup(nodes.groupBy("part")).applyInArrow(cross, PAIR)
-    return got.union(dealt_candidates(blocks, labels.drop("bits"))).distinct()
+    return got.union(dealt_candidates(blocks, labels, chunk)).distinct()
 
 
-# ---- verification ---------------------------------------------------------------------------
+# ---- the filters of all orders, and verification ----------------------------------------------
+
+
+def intersected(spark: SparkSession, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes that pass every order's filter and the parity bound; written."""
+    ends = pairs.select(F.col("a").alias("fp"), F.col("an").alias("n")).union(pairs.select("b", "bn"))
+    ends = ends.groupBy("fp", "n").agg(F.count("*").alias("times"))
+    known = staged(spark, nodes.join(ends, ["fp", "n"]).select("fp", "n", "times", "node", "bits", "sig"), "pair-nodes")
+    total = 1_000_000
+    named = pairs
+    for end, size, out in (("a", "an", "x"), ("b", "bn", "y")):
+        side = known.select(F.col("fp").alias(end), F.col("n").alias(size), "times", F.col("node").alias(out), F.col("bits").alias(f"{out}_bits"), F.col("sig").alias(f"{out}_sig"))
+        named = join_groups(named, side, [end, size], "times", total).drop("times")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.num_rows
+            if not m:
+                continue
+            x, y, an, bn = (b.column(k).to_numpy() for k in range(4))
+            bits = [b.column(k).to_pylist() for k in (4, 5)]
+            apart = ParityBound(bits[0] + bits[1]).apart(np.arange(m), np.arange(m, 2 * m))
+            at = np.flatnonzero(an + bn - apart >= 2 * least_common(an, bn))
+            sx, sy = b.column(6), b.column(7)
+            at = [k for k in at.tolist() if orders_meet(sx[k].as_py(), sy[k].as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()), pa.array(y[at], pa.int64())], names=["x", "y"])
+
+    return staged(spark, named.select("x", "y", "an", "bn", "x_bits", "y_bits", "x_sig", "y_sig").mapInArrow(run, "x long, y long"), "pairs")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Prefixes under both hash orders must meet; then the sets are compared."""
-    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
-        return False
-    px, py = prefix(len(x)), prefix(len(y))
-    if not len(np.intersect1d(x[:px], y[:py], True)) or not len(np.intersect1d(x[-px:], y[-py:], True)):
-        return False
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     return int((y[at] == x).sum()) >= least_common(len(x), len(y))
 
 
-def verified(spark: SparkSession, documents: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between the representatives (doc_id) of the pairs that reach the threshold.
+def verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of the pairs (x, y) that reach the threshold.
 
-    The text of every node in a pair goes to its hub; a hub with many nodes is copied.
+    The text of every node in a pair goes to its hub x; a hub with many nodes is copied, so that no
+    copy has much more than a task's share of all pairs.
     """
-    hubs = pairs.groupBy("a", "an").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("copies"))
-    rep = nodes.select("fp", "n", "rep")
-    sides = pairs.join(hubs, ["a", "an"]).select(
-        F.col("b").alias("fp"), F.col("bn").alias("n"), F.col("a").alias("hub"), F.col("an").alias("hub_n"), F.pmod(F.xxhash64("b"), "copies").cast("int").alias("salt"), F.lit(1).alias("role")
-    )
-    heads = hubs.select(
-        F.col("a").alias("fp"), F.col("an").alias("n"), F.col("a").alias("hub"), F.col("an").alias("hub_n"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("role")
-    )
-    want = sides.unionByName(heads).join(rep, ["fp", "n"]).withColumnRenamed("rep", "doc_id")
-    texts = id_text(documents).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    sent = texts.join(want.hint("merge"), "doc_id").select("hub", "hub_n", "salt", "role", "fp", "n", "doc_id", "text")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    sent = sent.repartition(width, "hub", "hub_n", "salt").sortWithinPartitions("hub", "hub_n", "salt", "role", "fp", "n", "doc_id")
+    share = max(8, pairs.count() // (4 * width))
+    hubs = pairs.groupBy("x").agg(F.count("*").alias("held")).withColumn("copies", F.ceil(F.col("held") / share).cast("int"))
+    sides = join_groups(pairs, hubs, ["x"], "held", 1_000_000)
+    sides = sides.select(F.col("y").alias("node"), F.col("x").alias("hub"), F.pmod(F.xxhash64("y"), "copies").cast("int").alias("salt"), F.lit(1).alias("role"))
+    heads = hubs.select(F.col("x").alias("node"), F.col("x").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("role"))
+    want = staged(spark, sides.unionByName(heads).join(nodes.select("node", "fp", "n", F.col("rep").alias("doc_id")), "node"), "wanted")
+    texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    ids = want.select("doc_id").distinct()
+    if ids.count() <= FEW_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    sent = texts.join(want.hint("merge"), "doc_id").select("hub", "salt", "role", "node", "fp", "n", "text")
+    sent = sent.repartition(width, "hub", "salt").sortWithinPartitions("hub", "salt", "role", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        at, hub, hub_id = None, None, None
+        at, hub = None, None
         for b in batches:
             a, z = [], []
-            cols = [b.column(k).to_pylist() for k in range(7)]
-            for k, text in enumerate(b.column(7)):
-                key = (cols[0][k], cols[1][k], cols[2][k])
-                s = None
-                if key != at:
-                    at, hub, hub_id = key, None, None
-                if cols[3][k] == 1 and hub is None:
+            hubs, salts, roles, own, fps, ns = (b.column(k).to_pylist() for k in range(6))
+            for k, text in enumerate(b.column(6)):
+                if (hubs[k], salts[k]) != at:
+                    at, hub = (hubs[k], salts[k]), None
+                if roles[k] == 1 and hub is None:
                     continue
                 s = shingles(words_of(text.as_py()), hashes)
-                if len(s) != cols[5][k] or fingerprint(s) != cols[4][k]:
+                if len(s) != ns[k] or fingerprint(s) != fps[k]:
                     continue  # another row with the same doc_id
-                if cols[3][k] == 0:
-                    hub, hub_id = s, cols[6][k]
+                if roles[k] == 0:
+                    hub = s
                 elif linked(s, hub):
-                    a.append(hub_id)
-                    z.append(cols[6][k])
+                    a.append(hubs[k])
+                    z.append(own[k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
     return sent.mapInArrow(run, "a long, b long").distinct()
@@ -453,34 +553,44 @@ def verified(spark: SparkSession, documents: DataFrame, pairs: DataFrame, nodes:
 # ---- the operator ---------------------------------------------------------------------------
 
 
-def jaccard_components(spark: SparkSession, documents: DataFrame, part_postings: int = PART_POSTINGS, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    stage = staged(spark, described(documents), "nodes")
-    rows = stage.where("kind = 0").select("doc_id", "fp", "n", "bits")
+def classes(spark: SparkSession, rows: DataFrame, part_postings: int = PART_POSTINGS, hot: int = HOT, big: int = BIG, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, row, n and component of every one of `rows` (doc_id, row, text)."""
+    cells = cells_for(rows)
+    stage = staged(spark, described(rows, cells), "nodes")
+    held = stage.where("kind = 0").select("doc_id", "row", "fp", "n")
     prefixes = F.sum(F.when(F.col("n") > 0, prefix_column(F.col("n"))))
-    total = rows.agg(F.count("*").alias("rows"), F.coalesce(prefixes, F.lit(0)).alias("postings")).first()
-    sketch = spark.sparkContext.broadcast(merged_sketch(stage))
-    nodes = staged(spark, rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bits").alias("bits")), "classes")
+    total = held.agg(F.count("*").alias("rows"), F.coalesce(prefixes, F.lit(0)).alias("postings")).first()
+    sketch = spark.sparkContext.broadcast(merged_sketch(stage, cells))
+    nodes = stage.where("kind = 0 AND n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
+    nodes = staged(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     parts = max(1, -(-int(total["postings"]) // part_postings))
-    blocks = staged(spark, first_candidates(postings(documents, sketch, parts, hot), sketch, hot), "candidates")
-    pairs = staged(spark, blocks.where("kind = 0").select("a", "an", "b", "bn").union(dealt_hubs(blocks)).distinct(), "pairs")
-    links = staged(spark, verified(spark, documents, pairs, nodes), "links")
+    blocks = staged(spark, first_candidates(postings(rows, sketch, parts, hot), sketch, hot, big), "candidates")
+    first = staged(spark, blocks.where("kind = 0").select("a", "an", "b", "bn").union(dealt_hubs(blocks)).distinct(), "pairs")
+    links = staged(spark, verified(spark, rows, intersected(spark, first, nodes), nodes), "links")
     found = components(spark, links)
-    known = nodes.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    known = known.select("fp", "n", "rep", "bits", F.coalesce("label", "rep").alias("label")).where(F.col("rep").isNotNull())
-    swapped = pairs.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("a").alias("b"), F.col("an").alias("bn"))
-    more = later_candidates(blocks, known.select("fp", "n", "label", "bits")).join(pairs.union(swapped), ["a", "an", "b", "bn"], "left_anti")
+    known = nodes.where(F.col("rep").isNotNull()).join(found, "node", "left").select("fp", "n", "bits", F.coalesce("label", "node").alias("label"))
+    swapped = first.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("a").alias("b"), F.col("an").alias("bn"))
+    more = later_candidates(blocks, known, chunk).join(first.union(swapped), ["a", "an", "b", "bn"], "left_anti")
     more = staged(spark, more, "pairs")
     if more.limit(1).count():
-        links = staged(spark, links.union(verified(spark, documents, more, nodes)), "links")
+        links = staged(spark, links.union(verified(spark, rows, intersected(spark, more, nodes), nodes)), "links")
         found = components(spark, links)
-    decided = nodes.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    decided = staged(spark, decided.select("fp", "n", "size", F.coalesce("label", "rep").alias("label")), "decided")
-    full = join_groups(rows.where("n > 0").drop("bits"), decided, ["fp", "n"], "size", total["rows"])
-    own = F.when(F.col("doc_id").isNotNull(), F.col("label"))
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).unionByName(none)
+    # A component's name is its smallest doc_id.
+    named = found.join(nodes.select("node", "rep"), "node")
+    least = named.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("held"))
+    named = join_groups(named, least, ["label"], "held", 1_000_000).select("node", "least")
+    decided = nodes.select("node", "fp", "n", "size", "rep").join(named, "node", "left")
+    decided = staged(spark, decided.select("fp", "n", "size", F.coalesce("least", "rep").alias("component")), "decided")
+    full = join_groups(held.where("n > 0"), decided, ["fp", "n"], "size", total["rows"])
+    full = full.select("doc_id", "row", "n", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
+    return full.unionByName(held.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component")))
+
+
+def jaccard_components(spark: SparkSession, documents: DataFrame, **sizes) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), "text")
+    return classes(spark, rows, **sizes).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def prefix_column(n: F.Column) -> F.Column:
@@ -488,6 +598,11 @@ def prefix_column(n: F.Column) -> F.Column:
 
 
 def keep_one(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """The documents that have the smallest doc_id of their group, with all their columns."""
-    gone = jaccard_components(spark, documents).where("component_id <> doc_id").select("doc_id")
-    return documents.join(gone.hint("merge"), "doc_id", "left_anti").select(*documents.columns)
+    """One document of each group, that of the smallest doc_id, with all its columns; of rows that repeat
+    it one. Rows without an id or without words are in no group and stay."""
+    whole, row = numbered(spark, documents)
+    rows = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")
+    known = staged(spark, classes(spark, rows), "groups").where("n > 0 AND component IS NOT NULL")
+    first = known.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("size"))
+    gone = join_groups(known, first, ["component"], "size", 1_000_000).where("row <> first.row").select(F.col("row").alias(row))
+    return whole.join(gone.hint("merge"), row, "left_anti").select(*documents.columns)
