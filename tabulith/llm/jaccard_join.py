@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import WordHashes, components, join_groups, mix64, numbered, shingles, staged, words_of
+from tabulith.llm.common import WordHashes, components, join_groups, mix64, numbered, shingles, shuffle_width, staged, words_of
 
 #: Cells of the count sketch: what is broadcast has these bounds whatever the data.
 CELLS = (1 << 20, 1 << 23)
@@ -51,7 +51,7 @@ PART_POSTINGS = 2_000_000
 #: Documents of one token, by the sketch, from which it is dealt over several parts.
 HOT = 1_000_000
 #: Nodes of one token whose pairs one task may compare; above, chunks of so many are compared.
-BIG, CHUNK = 4_000, 2_000
+BIG, CHUNK = 1_500, 1_000
 #: Parity bits of a node, by its size: two a shingle, within these bounds.
 BITS = (64, 2048)
 #: Documents whose ids may be broadcast to pick the texts that are compared; more are joined by sorting.
@@ -321,7 +321,7 @@ def distinct_pairs(a, an, b, bn) -> np.ndarray:
 PAIR = "a long, an long, b long, bn long"
 
 
-def first_candidates(blocks: DataFrame, sketch, hot: int, big: int) -> DataFrame:
+def first_candidates(blocks: DataFrame, sketch, parts: int, hot: int, big: int) -> DataFrame:
     """kind 0: node with hub; kind 1: the part's postings of shared tokens; kind 2: postings of tokens that
     are dealt or have many nodes (a, an: node, bn: place), with b = 1 for the hub of the part."""
 
@@ -359,6 +359,8 @@ def first_candidates(blocks: DataFrame, sketch, hot: int, big: int) -> DataFrame
         none = np.zeros(0, np.int64)
         return pa.concat_tables(out) if out else rows(0, part, none, none, none, none)
 
+    # As many tasks as parts at least: the planner knows the blocks' bytes, not what is in them.
+    blocks = blocks.repartition(max(parts, shuffle_width(blocks.sparkSession)), "part")
     return blocks.groupBy("part").applyInArrow(reduce, "kind int, part long, " + PAIR + ", token long, block binary")
 
 
@@ -373,14 +375,19 @@ def dealt_hubs(blocks: DataFrame) -> DataFrame:
 def across(left: tuple, right: tuple, step: int = 2_000_000) -> np.ndarray:
     """Pairs of left and right nodes (fp, n, pos, label, place in bound, with the bound last) of different
     components that pass the bounds, the parity bits' too."""
-    fp, n, pos, label, lo, bound = left
-    fp2, n2, pos2, label2, lo2, _ = right
-    found = []
-    rows = max(1, step // max(1, len(fp2)))
-    for k in range(0, len(fp), rows):
-        x = np.arange(k, min(len(fp), k + rows))[:, None]
-        i, j = np.nonzero(possible(pos[x], n[x], pos2, n2) & (label[x] != label2))
-        i = i + k
+    bound, found = left[5], []
+    by_size = lambda side: [c[np.argsort(side[1], kind="stable")] for c in side[:5]]
+    fp, n, pos, label, lo = by_size(left)
+    fp2, n2, pos2, label2, lo2 = by_size(right)
+    k = 0
+    while k < len(fp):  # nodes of like size stand together, so few of the others come in question
+        first = int(np.searchsorted(n2, -(-4 * n[k] // 5)))
+        rows = max(1, step // max(1, len(fp2) - first))
+        x = np.arange(k, min(len(fp), k + min(rows, 512)))
+        y = np.arange(first, int(np.searchsorted(n2, 5 * n[x[-1]] // 4, "right")))
+        k = int(x[-1]) + 1
+        i, j = np.nonzero(possible(pos[x, None], n[x, None], pos2[y], n2[y]) & (label[x, None] != label2[y]))
+        i, j = x[i], y[j]
         fits = n[i] + n2[j] - bound.apart(lo[i], lo2[j]) >= 2 * least_common(n[i], n2[j])
         i, j = i[fits], j[fits]
         a, an, b, bn = fp[i], n[i], fp2[j], n2[j]
@@ -390,25 +397,55 @@ def across(left: tuple, right: tuple, step: int = 2_000_000) -> np.ndarray:
     return distinct_pairs(*np.concatenate(found, axis=1)) if found else np.zeros((4, 0), np.int64)
 
 
+def within(token, pos, fp, n, label, lo, bound, step: int = 500_000) -> Iterator[np.ndarray]:
+    """Pairs of postings sorted by (token, label) that share a token, of different components, that pass the
+    bounds: each with the one `d` places after it in all groups at once, for every d."""
+    edge = runs(token)
+    size = np.diff(edge)
+    mixed = np.repeat(label[edge[:-1]] != label[edge[1:] - 1], size)
+    after = np.repeat(edge[1:], size)
+    at, d, held, have = np.flatnonzero(mixed), 0, [], 0
+    while True:
+        d += 1
+        at = at[at + d < after[at]]
+        if len(at):
+            fits = possible(pos[at], n[at], pos[at + d], n[at + d]) & (label[at] != label[at + d])
+            held.append((at[fits], at[fits] + d))
+            have += len(held[-1][0])
+        if held and (have >= step or not len(at)):
+            i, j = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            swap = (fp[i] > fp[j]) | (fp[i] == fp[j]) & (n[i] > n[j])
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            _, one = np.unique(np.stack([lo[i], lo[j]]), axis=1, return_index=True)  # each pair's bits are compared once
+            i, j = i[one], j[one]
+            fits = n[i] + n[j] - bound.apart(lo[i], lo[j]) >= 2 * least_common(n[i], n[j])
+            i, j = i[fits], j[fits]
+            yield np.stack([fp[i], n[i], fp[j], n[j]])
+            held, have = [], 0
+        if not len(at):
+            return
+
+
 def pair_table(got: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in got], names=["a", "an", "b", "bn"])
 
 
-def dealt_candidates(blocks: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
+def dealt_candidates(spark: SparkSession, blocks: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
     """Nodes of a token of kind 2 outside its main component, with its nodes in other components: both
     are dealt into chunks of about `chunk`, among nodes of like size, and each pair of chunks is one group."""
     held = blocks.where("kind = 2").select("token", F.col("a").alias("fp"), F.col("an").alias("n"), F.col("bn").alias("pos"))
-    held = held.groupBy("token", "fp", "n").agg(F.min("pos").alias("pos"))
-    held = held.join(labels, ["fp", "n"]).withColumn("len", F.floor(F.log("n") / math.log(1.25) + 1e-9).cast("int"))
-    sizes = held.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("nodes"))
+    held = held.groupBy("token", "fp", "n").agg(F.min("pos").alias("pos")).join(labels, ["fp", "n"])
+    held = staged(spark, held.withColumn("len", F.floor(F.log("n") / math.log(1.25) + 1e-9).cast("int")), "dealt")
+    sizes = held.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("nodes"), F.count("*").alias("parts"))
+    sizes = staged(spark, sizes.where("parts > 1"), "dealt-tokens")
     total = 1_000_000
-    held = join_groups(held, sizes.where("nodes > 1"), ["token"], "nodes", total).drop("nodes")
-    outside = held.where("label <> main")
     ends = ["token", "len"]
-    x = outside.withColumn("len", F.explode(F.array(F.col("len") - 1, "len", F.col("len") + 1)))
+    x = join_groups(held, sizes, ["token"], "nodes", total).where("label <> main").select(held.columns)
+    x = staged(spark, x.withColumn("len", F.explode(F.array(F.col("len") - 1, "len", F.col("len") + 1))), "dealt-outside")
     nx = x.groupBy(*ends).agg(F.count("*").alias("nx"))
-    ny = held.groupBy(*ends).agg(F.count("*").alias("ny"))
+    ny = held.join(sizes.select("token"), "token", "left_semi").groupBy(*ends).agg(F.count("*").alias("ny"))
     plan = nx.join(ny, ends).select(*ends, (F.col("nx") + F.col("ny")).alias("size"), F.ceil(F.col("nx") / chunk).cast("int").alias("bx"), F.ceil(F.col("ny") / chunk).cast("int").alias("by"))
+    plan = staged(spark, plan, "dealt-plan")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = [*ends, "cx", "cy", "fp", "n", "pos", "label", "bits"]
     x = join_groups(x, plan, ends, "size", total).withColumn("cx", F.pmod(F.xxhash64("fp", "n"), "bx").cast("int")).withColumn("cy", upto("by")).select(columns)
@@ -425,7 +462,7 @@ def dealt_candidates(blocks: DataFrame, labels: DataFrame, chunk: int) -> DataFr
     return named(x, "x").cogroup(named(y, "y")).applyInArrow(cross, PAIR)
 
 
-def later_candidates(blocks: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
+def later_candidates(spark: SparkSession, blocks: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
     """Pairs of a token's nodes that pass the bounds, the parity bits' too, and lie in different components."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,22 +490,15 @@ def later_candidates(blocks: DataFrame, labels: DataFrame, chunk: int) -> DataFr
             label = nodes[2][lo]
             order = np.lexsort((label, token))
             token, pos, fp, n, label, lo = token[order], pos[order], fp[order], n[order], label[order], lo[order]
-            edge = runs(token)
-            mixed = np.flatnonzero(label[edge[:-1]] != label[edge[1:] - 1])
-            for r in mixed:
-                s, e = edge[r], edge[r + 1]
-                lab = label[s:e]
-                cut = np.flatnonzero(np.r_[True, lab[1:] != lab[:-1], True])
-                big = int(np.argmax(np.diff(cut)))
-                rest, every = np.r_[0 : cut[big], cut[big + 1] : e - s] + s, np.arange(s, e)
-                of = lambda at: (fp[at], n[at], pos[at], label[at], lo[at], bound)
-                found.append(across(of(rest), of(every)))
+            found.extend(within(token, pos, fp, n, label, lo, bound))
         return pair_table(distinct_pairs(*np.concatenate(found, axis=1)) if found else np.zeros((4, 0), np.int64))
 
     held = blocks.where("kind = 1").select("part", "block")
     nodes = held.mapInArrow(members, "part long, fp long, n long").join(labels, ["fp", "n"])
     got = held.groupBy("part").cogroup(nodes.groupBy("part")).applyInArrow(cross, PAIR)
-    return got.union(dealt_candidates(blocks, labels, chunk)).distinct()
+    if blocks.where("kind = 2").limit(1).count():
+        got = got.union(dealt_candidates(spark, blocks, labels, chunk))
+    return got.distinct()
 
 
 # ---- the filters of all orders, and verification ----------------------------------------------
@@ -479,11 +509,10 @@ def intersected(spark: SparkSession, pairs: DataFrame, nodes: DataFrame) -> Data
     ends = pairs.select(F.col("a").alias("fp"), F.col("an").alias("n")).union(pairs.select("b", "bn"))
     ends = ends.groupBy("fp", "n").agg(F.count("*").alias("times"))
     known = staged(spark, nodes.join(ends, ["fp", "n"]).select("fp", "n", "times", "node", "bits", "sig"), "pair-nodes")
-    total = 1_000_000
-    named = pairs
-    for end, size, out in (("a", "an", "x"), ("b", "bn", "y")):
-        side = known.select(F.col("fp").alias(end), F.col("n").alias(size), "times", F.col("node").alias(out), F.col("bits").alias(f"{out}_bits"), F.col("sig").alias(f"{out}_sig"))
-        named = join_groups(named, side, [end, size], "times", total).drop("times")
+    side = lambda end, size, out: known.select(F.col("fp").alias(end), F.col("n").alias(size), "times", F.col("node").alias(out), F.col("bits").alias(f"{out}_bits"), F.col("sig").alias(f"{out}_sig"))
+    # A hub may be in any number of pairs, a node with it in as many as its prefix has tokens.
+    named = join_groups(pairs, side("a", "an", "x"), ["a", "an"], "times", 1_000_000).drop("times")
+    named = named.join(side("b", "bn", "y").hint("merge"), ["b", "bn"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -514,7 +543,7 @@ def verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, nodes: Data
     """
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     share = max(8, pairs.count() // (4 * width))
-    hubs = pairs.groupBy("x").agg(F.count("*").alias("held")).withColumn("copies", F.ceil(F.col("held") / share).cast("int"))
+    hubs = staged(spark, pairs.groupBy("x").agg(F.count("*").alias("held")).withColumn("copies", F.ceil(F.col("held") / share).cast("int")), "hubs")
     sides = join_groups(pairs, hubs, ["x"], "held", 1_000_000)
     sides = sides.select(F.col("y").alias("node"), F.col("x").alias("hub"), F.pmod(F.xxhash64("y"), "copies").cast("int").alias("salt"), F.lit(1).alias("role"))
     heads = hubs.select(F.col("x").alias("node"), F.col("x").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("role"))
@@ -565,19 +594,20 @@ def classes(spark: SparkSession, rows: DataFrame, part_postings: int = PART_POST
     nodes = staged(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     parts = max(1, -(-int(total["postings"]) // part_postings))
-    blocks = staged(spark, first_candidates(postings(rows, sketch, parts, hot), sketch, hot, big), "candidates")
+    blocks = staged(spark, first_candidates(postings(rows, sketch, parts, hot), sketch, parts, hot, big), "candidates")
     first = staged(spark, blocks.where("kind = 0").select("a", "an", "b", "bn").union(dealt_hubs(blocks)).distinct(), "pairs")
     links = staged(spark, verified(spark, rows, intersected(spark, first, nodes), nodes), "links")
     found = components(spark, links)
     known = nodes.where(F.col("rep").isNotNull()).join(found, "node", "left").select("fp", "n", "bits", F.coalesce("label", "node").alias("label"))
+    known = staged(spark, known, "labelled")
     swapped = first.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("a").alias("b"), F.col("an").alias("bn"))
-    more = later_candidates(blocks, known, chunk).join(first.union(swapped), ["a", "an", "b", "bn"], "left_anti")
+    more = later_candidates(spark, blocks, known, chunk).join(first.union(swapped), ["a", "an", "b", "bn"], "left_anti")
     more = staged(spark, more, "pairs")
     if more.limit(1).count():
         links = staged(spark, links.union(verified(spark, rows, intersected(spark, more, nodes), nodes)), "links")
         found = components(spark, links)
     # A component's name is its smallest doc_id.
-    named = found.join(nodes.select("node", "rep"), "node")
+    named = staged(spark, found.join(nodes.select("node", "rep"), "node"), "named")
     least = named.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("held"))
     named = join_groups(named, least, ["label"], "held", 1_000_000).select("node", "least")
     decided = nodes.select("node", "fp", "n", "size", "rep").join(named, "node", "left")
