@@ -1,17 +1,19 @@
 """Lexical retrieval packing: a sharded BM25 inverted index chooses what shares a window.
 
-Documents are tokenised once and staged. They are ranged by a lexical key (the smallest hash of
-their words, so that texts with common words lie together, with a hash of the id behind it so
-that a group of copies of any size is split) and cut into shards of a bounded number of tokens.
-In each shard a BM25 inverted index over token ids, with document frequencies counted over all
-documents, returns for each seed document its unused neighbours by falling score; they fill the
-seed's window greedily. The neighbour that does not fit is cut, and its rest seeds the next
-window. What is left at the end of a partition is cut into pieces whose lengths are powers of
-two, so nothing is padded.
+Documents are tokenised once and staged. They are ranged by a lexical key (the scrambled smallest
+hash of their bigrams, so that texts with common words lie together and long texts lie as anywhere
+as short ones) into parts of equally many tokens: the tokens of 65,536 cells of the key are counted,
+and a cell that holds much more than its share, a group of copies say, is dealt over parts by a hash
+of the id. A part is cut into shards of a bounded number of tokens and documents. In each shard a
+BM25 inverted index over token ids, with document frequencies counted over all documents, returns
+for each seed document its unused neighbours by falling score over all terms of the seed; they fill
+the seed's window greedily. The neighbour that does not fit is cut, and its rest seeds the next
+window. What is left at the end of a part is cut into pieces whose lengths are powers of two, so
+nothing is padded. Neighbours are those of the same shard; others are not looked for.
 
 Defined results: null and empty texts are the end mark alone; documents longer than a window
-run over several; repeated rows and rows with a null doc_id are packed one by one; other columns
-are never read; an empty table gives no pieces.
+run over several; ties of scores go by place; repeated rows and rows with a null doc_id are packed
+one by one; an empty table gives no pieces; other columns are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import id_text, staged
+from tabulith.llm.common import id_text, mix64, staged
 
 WINDOW = 2048
 END = 1
 VOCABULARY = 1 << 16
-#: A shard ends with the document that brings it to so many tokens.
-SHARD_TOKENS = 1_500_000
-#: Terms of a seed that are looked up: those that weigh most in it.
-QUERY_TERMS = 16
+#: A shard ends with the document that brings it to so many tokens, or to so many documents.
+SHARD_TOKENS, SHARD_DOCUMENTS = 1_500_000, 16_384
+#: Tokens of a part, which one task packs.
+PART_TOKENS = 4 * SHARD_TOKENS
+#: Cells of the key whose tokens are counted, and how many times its share makes a cell a hot one.
+CELLS, HOT_CELL = 1 << 16, 4
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
 
@@ -106,7 +110,7 @@ def tokenised(documents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=names)
 
         for b in batches:
-            blobs, sizes, keys = [], [], []
+            blobs, sizes, least = [], [], []
             for text in b.column(2).to_pylist():
                 blob = tok.encode(text) + b"\x01\x00"
                 ids = np.frombuffer(blob, np.uint16)
@@ -114,7 +118,8 @@ def tokenised(documents: DataFrame) -> DataFrame:
                 blobs.append(blob)
                 sizes.append(len(ids))
                 pairs = ids[:-1].astype(np.uint64) << np.uint64(16) | ids[1:]
-                keys.append(int((pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).min()) if len(pairs) else 0)
+                least.append((pairs * np.uint64(0x9E3779B97F4A7C15)).min() if len(pairs) else 0)
+            keys = mix64(np.array(least, np.uint64)) >> np.uint64(1)
             m = len(blobs)
             yield batch([0] * m, b.column(0), b.column(1), blobs, sizes, keys)
         used = np.flatnonzero(df)
@@ -161,22 +166,26 @@ class Shard:
         self.doc_by_token, self.weight_by_token = doc[order], weight[order]
         self.start = np.searchsorted(token[order], np.arange(VOCABULARY + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score (then by place), those without a common term last."""
-        a, z = self.from_doc[seed], self.from_doc[seed + 1]
-        token, w = self.token[a:z], self.weight[a:z]
-        if len(token) > QUERY_TERMS:
-            token = token[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]]
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document against all terms of the seed."""
+        token = self.token[self.from_doc[seed] : self.from_doc[seed + 1]]
         spans = [(self.start[t], self.start[t + 1]) for t in token]
-        score = np.bincount(
-            np.concatenate([self.doc_by_token[s:e] for s, e in spans]), np.concatenate([self.weight_by_token[s:e] for s, e in spans]), self.n
-        )
-        left = np.flatnonzero(unused)
-        if len(left) > 64:
-            top = left[np.argpartition(-score[left], 63)[:64]]
-        else:
-            top = left
-        return top[np.argsort(-score[top], kind="stable")]
+        return np.bincount(np.concatenate([self.doc_by_token[s:e] for s, e in spans]), np.concatenate([self.weight_by_token[s:e] for s, e in spans]), self.n)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents by falling score (then by place), those without a common term last; each that
+        is taken is marked by the caller."""
+        score, some = self.scores(seed), 64
+        while True:
+            left = np.flatnonzero(unused)
+            if not len(left):
+                return
+            if len(left) > some:
+                least = np.partition(score[left], -some)[-some]
+                better, level = left[score[left] > least], left[score[left] == least]
+                left = np.concatenate([better, level[: some - len(better)]])
+            yield from left[np.lexsort((left, -score[left]))].tolist()
+            some *= 4  # short documents: the window has room for more
 
 
 def order_of(shard: Shard) -> Iterator[int]:
@@ -195,14 +204,12 @@ def order_of(shard: Shard) -> Iterator[int]:
             filled = len(shard.docs[seed]) % WINDOW
         for d in shard.neighbours(seed, unused):
             unused[d] = False
-            yield int(d)
+            yield d
             filled += len(shard.docs[d])
             if filled >= WINDOW:  # cut here: the rest of d seeds the next window
                 filled %= WINDOW
-                seed = int(d)
+                seed = d
                 break
-        else:
-            seed = int(d) if unused.any() else -1
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -246,7 +253,7 @@ def packed_partition(idf: np.ndarray, mean: float, batches: Iterator[pa.RecordBa
             names.append(doc)
             docs.append(ids)
             held += len(ids)
-            if held >= SHARD_TOKENS:
+            if held >= SHARD_TOKENS or len(docs) >= SHARD_DOCUMENTS:
                 pack(names, docs)
                 names, docs, held = [], [], 0
                 yield table()
@@ -275,13 +282,25 @@ def pack_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     idf = np.log(1 + (total["n"] - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = max(1.0, total["t"] / max(1, total["n"]))
     model = spark.sparkContext.broadcast((idf, mean))  # the vocabulary bounds it
-    parts = max(1, -(-int(total["t"]) // (8 * SHARD_TOKENS)))
+    cell = F.shiftright("key", 63 - 16)
+    sums = sorted((r[0], r[1]) for r in held.groupBy(cell.alias("cell")).agg(F.sum("n").alias("t")).collect())  # at most CELLS
+    target, cells, before = PART_TOKENS, [], 0
+    parts = max(1, -(-int(total["t"]) // target))
+    target = max(1, -(-int(total["t"]) // parts))
+    for c, t in sums:
+        cells.append((c, before, t, t > HOT_CELL * max(1, total["t"]) / CELLS and t > target // HOT_CELL))
+        before += t
+    plan = spark.createDataFrame(cells, "cell long, before long, t long, hot boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         yield from packed_partition(*model.value, batches, TaskContext.get().partitionId() << 40)
 
+    low = (1 << 47) - 1  # the key's bits below those of its cell
+    inside = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 20)) / float(1 << 20)).otherwise(F.col("key").bitwiseAND(low) / float(1 << 47))
+    part = F.least(F.lit(parts - 1), F.floor((F.col("before") + inside * F.col("t")) / target)).cast("int")
     where = ["key", F.xxhash64("doc_id", "row"), "doc_id", "row"]
-    spread = held.select("doc_id", "ids", "key", "row").repartitionByRange(parts, *where).sortWithinPartitions(*where)
+    spread = held.select("doc_id", "ids", "key", "row").withColumn("cell", cell).join(F.broadcast(plan), "cell").withColumn("part", part)
+    spread = spread.select("doc_id", "ids", "key", "row", "part").repartitionById(parts, "part").sortWithinPartitions(*where)
     return spread.select("doc_id", "ids").mapInArrow(run, SCHEMA)
