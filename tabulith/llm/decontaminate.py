@@ -3,19 +3,24 @@
 The items are indexed (long ones in parts of at most `PART` words); every training passage, a
 window of `PASSAGE` words that begins every `STRIDE` words, is a query, and every part whose
 score reaches `THRESHOLD` of its score against itself is retrieved. As in block-max WAND, parts
-lie in blocks, each term keeps its largest impact per block, and only passages in which a block's
-summed bounds reach the threshold are scored; the bounds of all passages of a document are summed
-at once. Terms of many blocks are left out of the bounds as far as they make up at most half the
-threshold in every part, so a text without any other term matches nothing.
+lie in blocks, each term keeps its largest impact per block, and a block is entered only where the
+summed maxima of the passage's terms reach the threshold; since the threshold is fixed, the pivots
+of a slice of passages are found at once, from the pairs of passage and block that have a term in
+common. Within a block only the postings of that block are scored. Terms of many blocks are left out
+of the bounds as far as they make up at most half the threshold in every part, so a text without
+any other term matches nothing.
 A hit counts if both halves of the item, question and answer, overlap with the words around it.
 
-The index is broadcast in shards of at most `SHARD_BYTES` of item text; beyond one shard the
-documents are scanned once for each. Part counts, lengths and document frequencies are those of
-all items, so scores do not depend on the shards.
+The index is broadcast in shards of at most `SHARD_BYTES` of item text, one at a time; beyond one
+shard the documents are scanned once for each. Part counts, lengths and document frequencies are
+those of all items, so scores do not depend on the shards.
 
 Defined results: items without a word are left out; null and empty documents match nothing; an
 item given twice is reported under each id; several hits of a document and item give one row,
-the best; repeated documents each give rows; empty tables give an empty result.
+the best, and of equally good ones the first; repeated documents each give rows; texts of any length
+are looked through whole, a slice of passages at a time; empty tables give an empty result; other
+columns of either table are never read by the search, so their names cannot clash, and drop_leaks
+hands them on as they are.
 """
 
 from __future__ import annotations
@@ -113,14 +118,18 @@ class Index:
         self.impact = np.array([v for plist in lists for _, v in plist], np.float64)
         self.blocks = -(-len(parts) // BLOCK) if parts else 0
         at, block, most = [0], [], []
-        for plist in lists:
+        inside: list[list[tuple[int, int, float]]] = [[] for _ in range(self.blocks)]
+        for k, plist in enumerate(lists):
             top: dict[int, float] = {}
             for p, v in plist:
                 top[p // BLOCK] = max(top.get(p // BLOCK, 0.0), v)
+                inside[p // BLOCK].append((k, p % BLOCK, v))
             block += top.keys()
             most += top.values()
             at.append(len(block))
         self.at, self.block, self.most = np.array(at), np.array(block, np.int64), np.array(most, np.float64)
+        # The postings of each block, by term.
+        self.inside = [tuple(np.array(c, t) for c, t in zip(zip(*rows), (np.int64, np.int64, np.float64))) for rows in inside]
         # Terms of many blocks are not looked up for bounds: what they can add to a part is taken off the threshold.
         # They take off half of it at most, the longest lists first; the others are looked up all the same.
         size = np.diff(self.at)
@@ -140,10 +149,15 @@ class Index:
         at = slice(self.starts[k], self.starts[k + 1])
         return self.part[at], self.impact[at]
 
-    def scores(self, terms: list[int]) -> np.ndarray:
-        """The score of every part against distinct terms."""
-        got = [self.of(k) for k in terms]
-        return np.bincount(np.concatenate([p for p, _ in got]), np.concatenate([v for _, v in got]), len(self.parts))
+    def scores(self, block: int, present: np.ndarray) -> np.ndarray:
+        """The score of a block's parts against the terms marked in `present`."""
+        term, part, impact = self.inside[block]
+        found = present[term]
+        return np.bincount(part[found], impact[found], BLOCK)
+
+
+#: Passages whose bounds are held at once.
+SLICE = 512
 
 
 class Matcher:
@@ -158,10 +172,41 @@ class Matcher:
         raw = words(text)
         n = len(raw)
         term = np.fromiter(map(x.ids.get, raw, repeat(-1)), np.int64, n)
-        pos = np.flatnonzero(x.rare[term])  # term -1 reads the last entry, which is false
-        if not len(pos):
+        always = np.flatnonzero(x.need <= 0)  # blocks that common terms alone may fill
+        if not x.rare[term].any() and not len(always):  # term -1 reads the last entry, which is false
             return []
         passages = -(-(n - PASSAGE) // STRIDE) + 1 if n > PASSAGE else 1
+        found: dict[int, tuple] = {}
+        present = np.zeros(len(x.ids) + 1, bool)
+        for first in range(0, passages, SLICE):
+            some = min(SLICE, passages - first)
+            last, pivots = -1, self.pivots(term[first * STRIDE : (first + some - 1) * STRIDE + PASSAGE], some, always)
+            for p, block in pivots:
+                p += first
+                if p != last:
+                    mine = term[p * STRIDE : p * STRIDE + PASSAGE]
+                    present[:] = False
+                    present[mine] = True
+                    present[-1] = False
+                    last = p
+                score = x.scores(block, present)
+                for part in np.flatnonzero(score >= THRESHOLD).tolist():
+                    item, s = x.parts[block * BLOCK + part][0], float(score[part])
+                    if item in found and found[item][1] >= round(s, 6):
+                        continue
+                    q, ans = x.halves[item]
+                    reach = len(q) + len(ans)
+                    around = raw[max(0, p * STRIDE - reach) : p * STRIDE + PASSAGE + reach]
+                    oq, oa = overlap(q, around), overlap(ans, around)
+                    if oq >= OVERLAP and oa >= OVERLAP:
+                        found[item] = (x.items[item][0], round(s, 6), oq, oa, p * STRIDE)
+        return sorted(found.values(), key=lambda r: (r[0] is None, r[0], r[4]))
+
+
+    def pivots(self, term: np.ndarray, passages: int, always: np.ndarray) -> list[tuple[int, int]]:
+        """The (passage, block) pairs of a slice of terms whose bound reaches what the block needs, in order."""
+        x = self.x
+        pos = np.flatnonzero(x.rare[term])
         first = np.maximum(0, (pos - PASSAGE) // STRIDE + 1)
         span = np.minimum(passages - 1, pos // STRIDE) - first + 1  # passages a word lies in
         who = np.repeat(np.arange(len(pos)), span)
@@ -171,21 +216,12 @@ class Matcher:
         lens = x.at[t + 1] - x.at[t]
         rep = np.repeat(np.arange(len(t)), lens)
         entry = x.at[t][rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(lens) - lens, lens))
-        bound = np.bincount(passage[rep] * x.blocks + x.block[entry], x.most[entry], passages * x.blocks)
-        found: dict[int, tuple] = {}
-        for p in np.flatnonzero((bound.reshape(passages, x.blocks) >= x.need).any(1)).tolist():
-            score = x.scores(sorted(set(term[p * STRIDE : p * STRIDE + PASSAGE].tolist()) - {-1}))
-            for part in np.flatnonzero(score >= THRESHOLD).tolist():
-                item, s = x.parts[part][0], float(score[part])
-                if item in found and found[item][1] >= s:
-                    continue
-                q, ans = x.halves[item]
-                reach = len(q) + len(ans)
-                around = raw[max(0, p * STRIDE - reach) : p * STRIDE + PASSAGE + reach]
-                oq, oa = overlap(q, around), overlap(ans, around)
-                if oq >= OVERLAP and oa >= OVERLAP:
-                    found[item] = (x.items[item][0], round(s, 6), oq, oa, p * STRIDE)
-        return sorted(found.values(), key=lambda r: (r[0] is None, r[0], r[4]))
+        met, back = np.unique(passage[rep] * x.blocks + x.block[entry], return_inverse=True)
+        bound = np.bincount(back, x.most[entry], len(met))
+        reached = met[bound >= x.need[met % x.blocks]]
+        if len(always):
+            reached = np.union1d(reached, (np.arange(passages)[:, None] * x.blocks + always).ravel())
+        return [divmod(k, x.blocks) for k in reached.tolist()]
 
 
 def word_counts(items: DataFrame) -> DataFrame:
@@ -203,7 +239,7 @@ def word_counts(items: DataFrame) -> DataFrame:
 
 
 def shards(spark: SparkSession, benchmark: DataFrame) -> Iterator:
-    """Broadcast indexes over items of at most SHARD_BYTES each."""
+    """Broadcast indexes over items of at most SHARD_BYTES each, and whether there is one only."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // SHARD_BYTES)
@@ -216,7 +252,7 @@ def shards(spark: SparkSession, benchmark: DataFrame) -> Iterator:
         known = None
         if n > 1:  # of all words, only those of the shard come to the driver
             known = total, length, {bytes(r[0]): r[1] for r in counts.join(word_counts(own).select("word"), "word").select("word", "parts").collect()}
-        yield spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0], r[1])), known))
+        yield spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0], r[1])), known)), n == 1
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word_start long"
@@ -238,8 +274,12 @@ def find_leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame)
 
     rows = id_text(documents).select(F.col("doc_id").cast("long"), "text")
     out = spark.createDataFrame([], SCHEMA)
-    for index in shards(spark, benchmark):
-        out = out.unionByName(rows.mapInArrow(over(index), SCHEMA))
+    for index, only in shards(spark, benchmark):
+        found = rows.mapInArrow(over(index), SCHEMA)
+        if only:
+            return found
+        out = out.unionByName(staged(spark, found, "leaks"))
+        index.unpersist()
     return out
 
 
@@ -255,6 +295,9 @@ def drop_leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame)
 
         return run
 
-    for index in shards(spark, benchmark):
+    for index, only in shards(spark, benchmark):
         documents = documents.mapInArrow(over(index), schema)
+        if not only:
+            documents = staged(spark, documents, "clean")
+            index.unpersist()
     return documents
