@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,9 @@ END = 1
 VOCABULARY = 1 << 16
 #: A shard ends with the document that brings it to so many tokens, or to so many documents.
 SHARD_TOKENS, SHARD_DOCUMENTS = 1_500_000, 16_384
+#: Terms of a seed, those that weigh most in it, that find candidates, and the candidates that are scored by
+#: all terms: 0.98 of the eight best by all terms are found (tests/llm/test_packing.py measures it).
+QUERY_TERMS, CANDIDATES = 32, 128
 #: Tokens of a part, which one task packs.
 PART_TOKENS = 4 * SHARD_TOKENS
 #: Cells of the key whose tokens are counted, and how many times its share makes a cell a hot one.
@@ -47,10 +51,11 @@ SPECIAL = "<|endoftext|>"
 class Tokenizer:
     """Token ids of whole texts as little-endian uint16, by the byte-level BPE file `name`.
 
-    Pieces between single spaces never share a token in this vocabulary's split pattern, so their
-    ids are remembered per piece; texts with other white space at a piece's edge are encoded whole.
+    Pieces between single spaces never share a token in this vocabulary's split pattern, so a group of
+    texts is cut into pieces at once, each distinct piece is encoded once, and texts are put together
+    from them; texts with other white space at a piece's edge are encoded whole.
     `name` + ".tiktoken" holds the same merges and is the faster reader; texts that hold a special
-    token's string go to the tokenizers library itself.
+    token's string, or that its split pattern cannot take, go to the tokenizers library itself.
     """
 
     def __init__(self, name: str = "byte_bpe_50k", most: int = 600_000):
@@ -59,7 +64,7 @@ class Tokenizer:
 
         with open(public_tokenizers.path(name + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.name, self.most = name, most
+        self.name = name
         self.core = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.pieces = Pieces(self.core.encode_ordinary, most)
 
@@ -71,28 +76,58 @@ class Tokenizer:
         return Whole.from_file(public_tokenizers.path(self.name + ".json"))
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if SPECIAL in text:
-            return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = text.split(" ")
-        pieces = self.pieces
-        try:
-            if first[-1:].isspace():
-                raise ValueError
-            return array("H", self.core.encode_ordinary(first)).tobytes() + b"".join([pieces[p] for p in rest])
-        except ValueError:
-            return array("H", self.core.encode_ordinary(text)).tobytes()
+        """One text as a whole."""
+        if SPECIAL not in text:
+            try:
+                return array("H", self.core.encode_ordinary(text)).tobytes()
+            except ValueError:  # a run of white space too long for the split pattern
+                pass
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_all(self, texts: list[str], most: int = 32 << 20) -> list[bytes]:
+        """Texts in groups of about `most` characters."""
+        out, start, held = [], 0, 0
+        for k, t in enumerate(texts):
+            held += len(t)
+            if held >= most or k == len(texts) - 1:
+                out += self._group(texts[start : k + 1])
+                start, held = k + 1, 0
+        return out
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=" ")
+        ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        words = cut.flatten().dictionary_encode()
+        ids = [self.pieces[w] for w in words.dictionary.to_pylist()]
+        first = np.zeros(len(words), bool)
+        first[ends[:-1]] = True
+        codes = words.indices.to_numpy()
+        odd = np.array([x is None for x in ids])[codes] & ~first
+        odd = np.add.reduceat(odd.astype(np.int64), ends[:-1]) > 0
+        rest = pa.array(ids, pa.large_binary()).take(pa.array(codes[~first]))
+        _, at, data = rest.buffers()
+        at = np.frombuffer(at, np.int64)[ends - np.arange(len(ends))].tolist()
+        data = memoryview(data) if data is not None else memoryview(b"")
+        out = []
+        for k, text in enumerate(texts):
+            head = text.partition(" ")[0]
+            if odd[k] or head[-1:].isspace() or SPECIAL in text or len(head) > 1_000:
+                out.append(self.encode(text))
+            else:
+                out.append(array("H", self.core.encode_ordinary(head)).tobytes() + bytes(data[at[k] : at[k + 1]]))
+        return out
 
 
 class Pieces(dict):
+    """Ids of a piece with the space before it, None if it must be seen with its text."""
+
     def __init__(self, encode, most: int):
         super().__init__()
         self.encode, self.most = encode, most
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise ValueError(piece)
+        if not piece or piece[0].isspace() or piece[-1].isspace() or len(piece) > 1_000:
+            return None
         if len(self) >= self.most:
             self.clear()
         self[piece] = ids = array("H", self.encode(" " + piece)).tobytes()
@@ -111,8 +146,8 @@ def tokenised(documents: DataFrame) -> DataFrame:
 
         for b in batches:
             blobs, sizes, least = [], [], []
-            for text in b.column(2).to_pylist():
-                blob = tok.encode(text) + b"\x01\x00"
+            for blob in tok.encode_all(b.column(2).to_pylist()):
+                blob += b"\x01\x00"
                 ids = np.frombuffer(blob, np.uint16)
                 df[np.unique(ids)] += 1
                 blobs.append(blob)
@@ -165,17 +200,31 @@ class Shard:
         order = np.argsort(token, kind="stable")
         self.doc_by_token, self.weight_by_token = doc[order], weight[order]
         self.start = np.searchsorted(token[order], np.arange(VOCABULARY + 1))
-
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document against all terms of the seed."""
-        token = self.token[self.from_doc[seed] : self.from_doc[seed + 1]]
+        self.mark = np.zeros(VOCABULARY, bool)
+
+    def scores(self, seed: int, most: int | None = None) -> np.ndarray:
+        """BM25 of every document against the seed's terms, or the `most` heaviest of them."""
+        a, z = self.from_doc[seed], self.from_doc[seed + 1]
+        token, w = self.token[a:z], self.weight[a:z]
+        if most and len(token) > most:
+            token = token[np.argpartition(-w, most)[:most]]
         spans = [(self.start[t], self.start[t + 1]) for t in token]
         return np.bincount(np.concatenate([self.doc_by_token[s:e] for s, e in spans]), np.concatenate([self.weight_by_token[s:e] for s, e in spans]), self.n)
 
+    def rescored(self, seed: int, some: np.ndarray) -> np.ndarray:
+        """The score of some documents against all terms of the seed."""
+        self.mark[self.token[self.from_doc[seed] : self.from_doc[seed + 1]]] = True
+        lens = self.from_doc[some + 1] - self.from_doc[some]
+        ends = np.cumsum(lens)
+        at = np.repeat(self.from_doc[some] - (ends - lens), lens) + np.arange(ends[-1])
+        got = np.add.reduceat(self.weight[at] * self.mark[self.token[at]], ends - lens)
+        self.mark[:] = False
+        return got
+
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
-        """Unused documents by falling score (then by place), those without a common term last; each that
-        is taken is marked by the caller."""
-        score, some = self.scores(seed), 64
+        """Unused documents by falling score (then by place): the best by the seed's heaviest terms are scored
+        by all of them, and so on with the next; each that is taken is marked by the caller."""
+        score, some = self.scores(seed, QUERY_TERMS), CANDIDATES
         while True:
             left = np.flatnonzero(unused)
             if not len(left):
@@ -184,7 +233,7 @@ class Shard:
                 least = np.partition(score[left], -some)[-some]
                 better, level = left[score[left] > least], left[score[left] == least]
                 left = np.concatenate([better, level[: some - len(better)]])
-            yield from left[np.lexsort((left, -score[left]))].tolist()
+            yield from left[np.lexsort((left, -self.rescored(seed, left)))].tolist()
             some *= 4  # short documents: the window has room for more
 
 
