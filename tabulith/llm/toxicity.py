@@ -10,8 +10,11 @@ fitted: the broadcast model is two float arrays of `BUCKETS` entries, whatever t
 
 Defined results: null and empty texts score as the model's bias; texts of any length are scored
 whole; labels that are null are not learnt from, and of contradicting labels of a document the
-larger counts; no labels at all (or one class only) give the base rate as every score; a null
-doc_id is scored and counts as not held out.
+larger counts; of rows that repeat an id, and of texts that are copies or near copies of each other,
+one is learnt from, that of the smallest id; ties of the sample's order go by id; no labels at all
+(or one class only) give the base rate as every score; a null doc_id is scored and counts as not held
+out; repeated rows each give a row; empty tables give an empty result; other columns of documents and
+labels are never read, so their names cannot clash, and drop_toxic hands them on as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import id_text, mix64, staged
+from tabulith.llm.common import WordHashes, id_text, mix64, shingles, staged, words_of
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -37,8 +40,8 @@ MOST_BUCKETS = 6000
 THRESHOLD = 0.7
 #: Buckets whose log-likelihood ratio with the label is below this say nothing and weigh nothing.
 LEAST_RATIO = 12.0
-#: Buckets in a smaller share of the texts learnt from are left out: copies of one text make its own words look telling.
-LEAST_SHARE = 0.003
+#: Buckets in fewer of the distinct texts learnt from are left out.
+LEAST_TEXTS = 3
 #: What is added to the sum of weights that a text's average is divided by.
 SMOOTH = 8.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -120,14 +123,14 @@ def informativeness(pos_df: np.ndarray, all_df: np.ndarray, pos: int, n: int) ->
     for got, rows, cols in ((a, pos, seen), (seen - a, n - pos, seen), (pos - a, pos, n - seen), (n - pos - seen + a, n - pos, n - seen)):
         want = rows * cols / max(n, 1)
         g += np.where(got > 0, 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(want, 1e-9)), 0)
-    g[(g < LEAST_RATIO) | (seen < max(3, n * LEAST_SHARE))] = 0
+    g[(g < LEAST_RATIO) | (seen < LEAST_TEXTS)] = 0
     if (g > 0).sum() > MOST_BUCKETS:
         g[g < np.partition(g, -MOST_BUCKETS)[-MOST_BUCKETS]] = 0
     return np.sqrt(g).astype(np.float32)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, epochs: int = 10, seed: int = 7, rate: float = 0.02, decay: float = 1e-5) -> SubwordModel:
-    """Trains embeddings and softmax together; docs hold buckets of positive share only."""
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: np.ndarray, epochs: int = 10, seed: int = 7, rate: float = 0.02, decay: float = 1e-5) -> SubwordModel:
+    """Trains embeddings and softmax together; docs hold distinct buckets of positive share, and how often each occurs."""
     n, y = len(docs), labels.astype(np.float32)
     pos = float(y.sum())
     prior = np.log((pos + 0.5) / (n - pos + 0.5))
@@ -145,10 +148,10 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, epochs: i
         order = rng.permutation(n)
         for at in range(0, n, size):
             rows = order[at : at + size]
-            lens = np.array([len(docs[r]) for r in rows])
-            ids = np.concatenate([docs[r] for r in rows])
+            lens = np.array([len(docs[r][0]) for r in rows])
+            ids = np.concatenate([docs[r][0] for r in rows])
             owner = np.repeat(np.arange(len(rows)), lens)
-            w = share[ids]
+            w = share[ids] * np.concatenate([docs[r][1] for r in rows])
             total = np.bincount(owner, w, len(rows)).astype(np.float32)
             w = scale * w / (total + SMOOTH)[owner]
             used, back = np.unique(ids, return_inverse=True)
@@ -191,7 +194,18 @@ def training_rows(spark: SparkSession, documents: DataFrame, lab: DataFrame, max
     pick = [lab.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class[c]) for c in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # at most sum(max_per_class) rows
     rows = id_text(documents).join(chosen, "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic")
-    return staged(spark, rows.repartition(16, "doc_id"), "labelled")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingles(words_of(t), hashes) for t in b.column(1).to_pylist()]
+            least = pa.array([int(x[0] >> np.uint64(1)) if len(x) else -1 for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, least], names=["doc_id", "text", "toxic", "least"])
+
+    # Near copies mostly share their smallest shingle; each pair of label and shingle is learnt from once.
+    rows = rows.mapInArrow(near, "doc_id long, text string, toxic int, least long")
+    rows = rows.groupBy("least", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    return staged(spark, rows.select("r.doc_id", "r.text", "toxic").repartition(16, "doc_id"), "labelled")
 
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +238,16 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_per_
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [text_buckets(t) for t in b.column(1).to_pylist()]
-            packed = [i[held.value[i] > 0].astype(np.int32).tobytes() for i in ids]
+            packed = []
+            for t in b.column(1).to_pylist():
+                ids, times = np.unique(text_buckets(t), return_counts=True)
+                told = held.value[ids] > 0  # at most MOST_BUCKETS
+                packed.append(np.stack([ids[told], times[told]]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2)], names=["doc_id", "buckets", "toxic"])
 
     got = sorted(((r[0], r[2], bytes(r[1])) for r in rows.mapInArrow(told, "doc_id long, buckets binary, toxic int").collect()))
     y = np.array([r[1] for r in got], np.float32)
-    model = fit([np.frombuffer(r[2], np.int32) for r in got], y, share)
+    model = fit([tuple(np.frombuffer(r[2], np.int32).reshape(2, -1)) for r in got], y, share)
     pos, neg = float(y.sum()), float(len(y) - y.sum())
     if pos and neg:
         model.bias += float(np.log(every.get(1, 1) / every.get(0, 1)) - np.log(pos / neg))
