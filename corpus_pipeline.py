@@ -1,4 +1,10 @@
-"""The training-corpus pipeline: five stages, each over all that its predecessor kept."""
+"""The training-corpus pipeline: five stages, each over all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and reads whole tables and whole texts. All but the last hand on
+the columns of documents, extra ones too, whatever their names (stages choose inner names that do not
+clash); an empty table goes through all of them and gives no pieces. What each does with nulls, ties
+and repeated rows is said with it, and with its operator in tabulith/llm.
+"""
 
 from __future__ import annotations
 
@@ -8,26 +14,45 @@ from tabulith.llm import common, decontaminate, exact_dedup, jaccard_join, packi
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on `labels`, does not reject (score below its threshold).
+
+    Null and empty texts are scored by the bias and stay where that is low; rows without an id are scored
+    like others; repeated rows share their fate; without labels every document has the base rate.
+    """
     common.package_zip(spark)
     return toxicity.drop_toxic(spark, docs, common.table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the smallest doc_id, of repeated rows one.
+
+    Null and empty texts are equal to each other; a row without an id stays only where its group has none.
+    """
     common.package_zip(spark)
     return exact_dedup.drop_copies(spark, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles, the smallest doc_id, of repeated rows one.
+
+    Texts without words and rows without an id are in no group and stay.
+    """
     common.package_zip(spark)
     return jaccard_join.keep_one(spark, docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of `benchmark` is found with question and answer.
+
+    Null and empty texts hold none and stay; repeated rows share their fate; so do all where there are no items.
+    """
     common.package_zip(spark)
     return decontaminate.drop_leaks(spark, docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows; null and empty texts are the end mark alone, rows without an id are
+    packed like others, repeated rows one by one."""
     common.package_zip(spark)
     return packing.pack_documents(spark, docs)
 
@@ -40,7 +65,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained scores and tokenised windows have no SQL; tests hold the run against brute force.
+#: Trained scores and tokenised windows have no SQL; tests/llm/test_pipeline_brute.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
