@@ -50,12 +50,16 @@ CELLS = (1 << 20, 1 << 23)
 PART_POSTINGS = 2_000_000
 #: Documents of one token, by the sketch, from which it is dealt over several parts.
 HOT = 1_000_000
+#: Postings of a part where there are few: so small data have more than a task.
+LEAST_POSTINGS = 100_000
+#: Nodes of a token whose pairs are all compared at once.
+FEW = 8
 #: Nodes of one token whose pairs one task may compare; above, chunks of so many are compared.
 BIG, CHUNK = 1_500, 1_000
 #: Parity bits of a node, by its size: two a shingle, within these bounds.
 BITS = (64, 2048)
-#: Documents whose ids may be broadcast to pick the texts that are compared; more are joined by sorting.
-FEW_IDS = 1_000_000
+#: Rows of a few numbers that may be broadcast; more are joined by sorting.
+FEW_ROWS = 1_000_000
 
 
 def least_common(nx, ny):
@@ -347,10 +351,18 @@ def first_candidates(blocks: DataFrame, sketch, parts: int, hot: int, big: int)
         token, pos, fp, n, apart = token[shared], pos[shared], fp[shared], n[shared], apart[shared]
         if len(token):
             edge = runs(token)
-            hub = np.repeat(edge[:-1], np.diff(edge))
-            fits = possible(pos, n, pos[hub], n[hub]) & (np.arange(len(token)) != hub)
-            at, to = np.flatnonzero(fits), hub[fits]
+            size = np.repeat(np.diff(edge), np.diff(edge))
+            after = np.repeat(edge[1:], np.diff(edge))
+            at, to = np.flatnonzero(size > FEW), np.repeat(edge[:-1], np.diff(edge))[size > FEW]
+            few = [np.flatnonzero((size <= FEW) & (np.arange(len(token)) + d < after)) for d in range(1, FEW)]
+            at = np.concatenate([at, *(x + d for d, x in enumerate(few, 1))])
+            to = np.concatenate([to, *few])
+            fits = possible(pos[at], n[at], pos[to], n[to]) & (at != to)
+            at, to = at[fits], to[fits]
+            swap = ~(size[at] > FEW) & ((fp[to] > fp[at]) | (fp[to] == fp[at]) & (n[to] > n[at]))  # hubs come first, other pairs by fingerprint
+            at, to = np.where(swap, to, at), np.where(swap, at, to)
             out.append(rows(0, part, *distinct_pairs(fp[to], n[to], fp[at], n[at])))
+            apart = apart | (size <= FEW)
             token, pos, fp, n = token[~apart], pos[~apart], fp[~apart], n[~apart]
         if len(token):
             zero = np.zeros(1, np.int64)
@@ -504,11 +516,19 @@ def later_candidates(spark: SparkSession, blocks: DataFrame, labels: DataFrame,
 # ---- the filters of all orders, and verification ----------------------------------------------
 
 
-def intersected(spark: SparkSession, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of nodes that pass every order's filter and the parity bound; written."""
+def matched(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a written table of short rows: broadcast if that has at most FEW_ROWS."""
+    return rows.join(F.broadcast(few) if few.count() <= FEW_ROWS else few.hint("merge"), keys, how)
+
+
+def intersected(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes that pass every order's filter and the parity bound; written.
+    held: rows with fp, n and the prefixes of every document."""
     ends = pairs.select(F.col("a").alias("fp"), F.col("an").alias("n")).union(pairs.select("b", "bn"))
-    ends = ends.groupBy("fp", "n").agg(F.count("*").alias("times"))
-    known = staged(spark, nodes.join(ends, ["fp", "n"]).select("fp", "n", "times", "node", "bits", "sig"), "pair-nodes")
+    ends = staged(spark, ends.groupBy("fp", "n").agg(F.count("*").alias("times")), "ends")
+    signs = matched(held, ends, ["fp", "n"]).groupBy("fp", "n").agg(F.first("sig").alias("sig"))
+    known = matched(nodes, ends, ["fp", "n"]).join(signs, ["fp", "n"])
+    known = staged(spark, known.select("fp", "n", "times", "node", "bits", "sig"), "pair-nodes")
     side = lambda end, size, out: known.select(F.col("fp").alias(end), F.col("n").alias(size), "times", F.col("node").alias(out), F.col("bits").alias(f"{out}_bits"), F.col("sig").alias(f"{out}_sig"))
     # A hub may be in any number of pairs, a node with it in as many as its prefix has tokens.
     named = join_groups(pairs, side("a", "an", "x"), ["a", "an"], "times", 1_000_000).drop("times")
@@ -549,8 +569,8 @@ def verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, nodes: Data
     heads = hubs.select(F.col("x").alias("node"), F.col("x").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("role"))
     want = staged(spark, sides.unionByName(heads).join(nodes.select("node", "fp", "n", F.col("rep").alias("doc_id")), "node"), "wanted")
     texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    ids = want.select("doc_id").distinct()
-    if ids.count() <= FEW_IDS:
+    ids = staged(spark, want.select("doc_id").distinct(), "ids")
+    if ids.count() <= FEW_ROWS:
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     sent = texts.join(want.hint("merge"), "doc_id").select("hub", "salt", "role", "node", "fp", "n", "text")
     sent = sent.repartition(width, "hub", "salt").sortWithinPartitions("hub", "salt", "role", "node")
@@ -586,32 +606,34 @@ def classes(spark: SparkSession, rows: DataFrame, part_postings: int = PART_POST
     """doc_id, row, n and component of every one of `rows` (doc_id, row, text)."""
     cells = cells_for(rows)
     stage = staged(spark, described(rows, cells), "nodes")
-    held = stage.where("kind = 0").select("doc_id", "row", "fp", "n")
+    held = stage.where("kind = 0").select("doc_id", "row", "fp", "n", "sig")
     prefixes = F.sum(F.when(F.col("n") > 0, prefix_column(F.col("n"))))
     total = held.agg(F.count("*").alias("rows"), F.coalesce(prefixes, F.lit(0)).alias("postings")).first()
     sketch = spark.sparkContext.broadcast(merged_sketch(stage, cells))
-    nodes = stage.where("kind = 0 AND n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
+    nodes = stage.where("kind = 0 AND n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bits").alias("bits"))
     nodes = staged(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    parts = max(1, -(-int(total["postings"]) // part_postings))
+    some = int(total["postings"])
+    parts = max(1, -(-some // part_postings), min(shuffle_width(spark), some // LEAST_POSTINGS))
     blocks = staged(spark, first_candidates(postings(rows, sketch, parts, hot), sketch, parts, hot, big), "candidates")
     first = staged(spark, blocks.where("kind = 0").select("a", "an", "b", "bn").union(dealt_hubs(blocks)).distinct(), "pairs")
-    links = staged(spark, verified(spark, rows, intersected(spark, first, nodes), nodes), "links")
+    links = staged(spark, verified(spark, rows, intersected(spark, first, nodes, held), nodes), "links")
     found = components(spark, links)
-    known = nodes.where(F.col("rep").isNotNull()).join(found, "node", "left").select("fp", "n", "bits", F.coalesce("label", "node").alias("label"))
+    known = matched(nodes.where(F.col("rep").isNotNull()), found, ["node"], "left").select("fp", "n", "bits", F.coalesce("label", "node").alias("label"))
     known = staged(spark, known, "labelled")
     swapped = first.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("a").alias("b"), F.col("an").alias("bn"))
     more = later_candidates(spark, blocks, known, chunk).join(first.union(swapped), ["a", "an", "b", "bn"], "left_anti")
     more = staged(spark, more, "pairs")
     if more.limit(1).count():
-        links = staged(spark, links.union(verified(spark, rows, intersected(spark, more, nodes), nodes)), "links")
+        links = staged(spark, links.union(verified(spark, rows, intersected(spark, more, nodes, held), nodes)), "links")
         found = components(spark, links)
     # A component's name is its smallest doc_id.
-    named = staged(spark, found.join(nodes.select("node", "rep"), "node"), "named")
+    named = staged(spark, matched(nodes.select("node", "rep"), found, ["node"]), "named")
     least = named.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("held"))
-    named = join_groups(named, least, ["label"], "held", 1_000_000).select("node", "least")
-    decided = nodes.select("node", "fp", "n", "size", "rep").join(named, "node", "left")
+    named = staged(spark, join_groups(named, least, ["label"], "held", 1_000_000).select("node", "least"), "named")
+    decided = matched(nodes.select("node", "fp", "n", "size", "rep"), named, ["node"], "left")
     decided = staged(spark, decided.select("fp", "n", "size", F.coalesce("least", "rep").alias("component")), "decided")
+    held = held.drop("sig")
     full = join_groups(held.where("n > 0"), decided, ["fp", "n"], "size", total["rows"])
     full = full.select("doc_id", "row", "n", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
     return full.unionByName(held.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component")))
