@@ -42,8 +42,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         system = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
         system.mkdirs(hadoop)
         system.deleteOnExit(hadoop)
-        sc._tabulith_dir = top
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+        sc._tabulith_dir, sc._tabulith_paths = top, []
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    sc._tabulith_paths.append(path)
+    return path
+
+
+def made_paths(spark: SparkSession) -> list[str]:
+    """The paths given out so far and not dropped."""
+    return list(getattr(spark.sparkContext, "_tabulith_paths", ()))
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes what was written at these paths: nothing may read them any more."""
+    sc = spark.sparkContext
+    for path in paths:
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+        sc._tabulith_paths.remove(path)
 
 
 def numbered(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, str]:

@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import SPACE, fresh_path, id_text, join_groups, numbered, shuffle_width, staged
+from tabulith.llm.common import SPACE, drop_paths, fresh_path, id_text, join_groups, made_paths, numbered, shuffle_width, staged
 
 
 def digest(text) -> F.Column:
@@ -61,6 +61,12 @@ class DigestIndex:
         groups.join(have, "digest", "left_anti").select("digest", "keep_id", F.lit(batch).alias("batch")).write.insertInto(self.name)
 
 
+    def drop(self) -> None:
+        """Forgets the table and deletes its files: for an index that answers one batch only."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_paths(self.spark, [p for p in made_paths(self.spark) if self.path.endswith(p.split("://")[-1])])
+
+
 def assign(spark: SparkSession, rows: DataFrame, index: DigestIndex) -> DataFrame:
     """One row per row of `rows` (doc_id, digest, row), with the group it falls in; new digests are
     appended to the index.
@@ -88,15 +94,19 @@ def assign(spark: SparkSession, rows: DataFrame, index: DigestIndex) -> DataFram
     return joined.select("doc_id", "row", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def opened(spark: SparkSession, index_path: str | None) -> DigestIndex:
-    """The index at index_path, or a new one in the shared folder."""
-    return DigestIndex(spark, index_path or fresh_path(spark, "digest_index"))
+def over(spark: SparkSession, rows: DataFrame, index_path: str | None) -> DataFrame:
+    """assign() over the index at index_path, or over a new one that goes when the groups are decided and written."""
+    index = DigestIndex(spark, index_path or fresh_path(spark, "digest_index"))
+    out = assign(spark, rows, index)
+    if index_path is None:
+        index.drop()
+    return out
 
 
 def exact_dedup(spark: SparkSession, documents: DataFrame, index_path: str | None = None) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept and text_sha256."""
     rows = id_text(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(digest(F.col("text"))).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    return assign(spark, rows, opened(spark, index_path)).drop("row")
+    return over(spark, rows, index_path).drop("row")
 
 
 def drop_copies(spark: SparkSession, documents: DataFrame, index_path: str | None = None) -> DataFrame:
@@ -107,7 +117,7 @@ def drop_copies(spark: SparkSession, documents: DataFrame, index_path: str | Non
     """
     whole, row = numbered(spark, documents)
     rows = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(digest(F.col("text"))).alias("digest"), F.col(row).alias("row"))
-    kept = assign(spark, rows, opened(spark, index_path)).where("kept").select(F.col("row").alias(row))
+    kept = over(spark, rows, index_path).where("kept").select(F.col("row").alias(row))
     return whole.join(kept.hint("merge"), row, "left_semi").select(*documents.columns)
 
 

@@ -58,7 +58,7 @@ class Tokenizer:
     token's string, or that its split pattern cannot take, go to the tokenizers library itself.
     """
 
-    def __init__(self, name: str = "byte_bpe_50k", most: int = 600_000):
+    def __init__(self, name: str = "byte_bpe_50k", most: int = 300_000):
         import public_tokenizers
         import tiktoken
 
@@ -84,7 +84,7 @@ class Tokenizer:
                 pass
         return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode_all(self, texts: list[str], most: int = 32 << 20) -> list[bytes]:
+    def encode_all(self, texts: list[str], most: int = 16 << 20) -> list[bytes]:
         """Texts in groups of about `most` characters."""
         out, start, held = [], 0, 0
         for k, t in enumerate(texts):
