@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,44 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the system: idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that leaves its worker small when its task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def lean_groups(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for applyInArrow, with (key, table) or (key, left, right); for large groups, as it runs after each."""
+
+    def one(key: tuple[pa.Scalar, ...], left: pa.Table) -> pa.Table:
+        try:
+            return run(key, left)
+        finally:
+            give_back()
+
+    def two(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(key, left, right)
+        finally:
+            give_back()
+
+    return one if run.__code__.co_argcount == 2 else two
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of uint64 values (public splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

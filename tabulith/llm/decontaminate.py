@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import id_text, staged
+from tabulith.llm.common import id_text, lean, staged
 
 PASSAGE, STRIDE, PART, BLOCK = 128, 64, 64, 4
 THRESHOLD = 0.5
@@ -234,7 +234,7 @@ def word_counts(items: DataFrame) -> DataFrame:
             cols = [pa.array([None, *df], pa.binary()), pa.array([len(parts), *df.values()], pa.int64()), pa.array([sum(map(len, parts)), *[0] * len(df)], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["word", "parts", "length"])
 
-    made = items.select("text").mapInArrow(run, "word binary, parts long, length long")
+    made = items.select("text").mapInArrow(lean(run), "word binary, parts long, length long")
     return made.groupBy("word").agg(F.sum("parts").alias("parts"), F.sum("length").alias("length"))
 
 
@@ -275,7 +275,7 @@ def find_leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame)
     rows = id_text(documents).select(F.col("doc_id").cast("long"), "text")
     out = spark.createDataFrame([], SCHEMA)
     for index, only in shards(spark, benchmark):
-        found = rows.mapInArrow(over(index), SCHEMA)
+        found = rows.mapInArrow(lean(over(index)), SCHEMA)
         if only:
             return found
         out = out.unionByName(staged(spark, found, "leaks"))
@@ -296,7 +296,7 @@ def drop_leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame)
         return run
 
     for index, only in shards(spark, benchmark):
-        documents = documents.mapInArrow(over(index), schema)
+        documents = documents.mapInArrow(lean(over(index)), schema)
         if not only:
             documents = staged(spark, documents, "clean")
             index.unpersist()

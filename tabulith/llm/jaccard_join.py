@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import WordHashes, components, join_groups, mix64, numbered, shingles, shuffle_width, staged, words_of
+from tabulith.llm.common import WordHashes, components, join_groups, lean, lean_groups, mix64, numbered, shingles, shuffle_width, staged, words_of
 
 #: Cells of the count sketch: what is broadcast has these bounds whatever the data.
 CELLS = (1 << 20, 1 << 23)
@@ -190,7 +190,7 @@ def described(rows: DataFrame, cells_of_sketch: int) -> DataFrame:
             none = [pa.nulls(1, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *none, pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, DESCRIBED)
+    return rows.mapInArrow(lean(run), DESCRIBED)
 
 
 def merged_sketch(stage: DataFrame, cells: int) -> np.ndarray:
@@ -205,11 +205,11 @@ def merged_sketch(stage: DataFrame, cells: int) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
 
-    rows = stage.where("kind = 1").select(F.col("bits").alias("sketch")).mapInArrow(merge, "sketch binary")
+    rows = stage.where("kind = 1").select(F.col("bits").alias("sketch")).mapInArrow(lean(merge), "sketch binary")
     parts = stage.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // 32)
-        rows = rows.repartition(parts).mapInArrow(merge, "sketch binary")
+        rows = rows.repartition(parts).mapInArrow(lean(merge), "sketch binary")
     got = rows.collect()
     return np.frombuffer(zlib.decompress(bytes(got[0][0])), np.int32) if got else np.zeros(cells, np.int32)
 
@@ -289,7 +289,7 @@ def postings(rows: DataFrame, sketch, parts: int, hot: int) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "part long, block binary")
+    return rows.mapInArrow(lean(run), "part long, block binary")
 
 
 def gathered(blocks: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
@@ -373,7 +373,7 @@ def first_candidates(blocks: DataFrame, sketch, parts: int, hot: int, big: int)
 
     # As many tasks as parts at least: the planner knows the blocks' bytes, not what is in them.
     blocks = blocks.repartition(max(parts, shuffle_width(blocks.sparkSession)), "part")
-    return blocks.groupBy("part").applyInArrow(reduce, "kind int, part long, " + PAIR + ", token long, block binary")
+    return blocks.groupBy("part").applyInArrow(lean_groups(reduce), "kind int, part long, " + PAIR + ", token long, block binary")
 
 
 def dealt_hubs(blocks: DataFrame) -> DataFrame:
@@ -506,8 +506,8 @@ def later_candidates(spark: SparkSession, blocks: DataFrame, labels: DataFrame,
         return pair_table(distinct_pairs(*np.concatenate(found, axis=1)) if found else np.zeros((4, 0), np.int64))
 
     held = blocks.where("kind = 1").select("part", "block")
-    nodes = held.mapInArrow(members, "part long, fp long, n long").join(labels, ["fp", "n"])
-    got = held.groupBy("part").cogroup(nodes.groupBy("part")).applyInArrow(cross, PAIR)
+    nodes = held.mapInArrow(lean(members), "part long, fp long, n long").join(labels, ["fp", "n"])
+    got = held.groupBy("part").cogroup(nodes.groupBy("part")).applyInArrow(lean_groups(cross), PAIR)
     if blocks.where("kind = 2").limit(1).count():
         got = got.union(dealt_candidates(spark, blocks, labels, chunk))
     return got.distinct()
@@ -547,7 +547,7 @@ def intersected(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, held: D
             at = [k for k in at.tolist() if orders_meet(sx[k].as_py(), sy[k].as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()), pa.array(y[at], pa.int64())], names=["x", "y"])
 
-    return staged(spark, named.select("x", "y", "an", "bn", "x_bits", "y_bits", "x_sig", "y_sig").mapInArrow(run, "x long, y long"), "pairs")
+    return staged(spark, named.select("x", "y", "an", "bn", "x_bits", "y_bits", "x_sig", "y_sig").mapInArrow(lean(run), "x long, y long"), "pairs")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -596,7 +596,7 @@ def verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, nodes: Data
                     z.append(own[k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
-    return sent.mapInArrow(run, "a long, b long").distinct()
+    return sent.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 # ---- the operator ---------------------------------------------------------------------------

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import id_text, mix64, staged
+from tabulith.llm.common import id_text, lean, mix64, staged
 
 WINDOW = 2048
 END = 1
@@ -162,7 +162,7 @@ def tokenised(documents: DataFrame) -> DataFrame:
             yield batch([1], [None], [None], [np.stack([used, df[used]]).astype(np.int64).tobytes()], [len(used)], [None])
 
     rows = id_text(documents).select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, "kind int, doc_id long, row long, ids binary, n long, key long")
+    return rows.mapInArrow(lean(run), "kind int, doc_id long, row long, ids binary, n long, key long")
 
 
 def document_frequencies(stage: DataFrame) -> np.ndarray:
@@ -178,7 +178,7 @@ def document_frequencies(stage: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["token", "df"])
 
     out = np.zeros(VOCABULARY, np.int64)
-    for r in stage.where("kind = 1").select("ids").mapInArrow(run, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
+    for r in stage.where("kind = 1").select("ids").mapInArrow(lean(run), "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
         out[r["token"]] = r["df"]
     return out
 
@@ -352,4 +352,4 @@ def pack_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     where = ["key", F.xxhash64("doc_id", "row"), "doc_id", "row"]
     spread = held.select("doc_id", "ids", "key", "row").withColumn("cell", cell).join(F.broadcast(plan), "cell").withColumn("part", part)
     spread = spread.select("doc_id", "ids", "key", "row", "part").repartitionById(parts, "part").sortWithinPartitions(*where)
-    return spread.select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    return spread.select("doc_id", "ids").mapInArrow(lean(run), SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import WordHashes, id_text, staged
+from tabulith.llm.common import WordHashes, id_text, lean, staged
 from tabulith.llm.extraction import STOP
 
 BUCKETS = 1 << 16
@@ -183,7 +183,7 @@ def label_model(stage: DataFrame) -> tuple[dict[int, float], float]:
 def classify(spark: SparkSession, documents: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """doc_id, posterior, score and keep of every document."""
     rows = id_text(documents).select(F.col("doc_id").cast("long"), "text")
-    stage = staged(spark, rows.mapInArrow(described, "doc_id long, pattern long, ids binary, x binary"), "quality")
+    stage = staged(spark, rows.mapInArrow(lean(described), "doc_id long, pattern long, ids binary, x binary"), "quality")
     posterior, prior = label_model(stage)
 
     chosen = stage.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
@@ -201,4 +201,4 @@ def classify(spark: SparkSession, documents: DataFrame, max_sample: int = MAX_SA
             ss = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ps, pa.float64()), pa.array(ss, pa.float64())], names=["doc_id", "posterior", "score"])
 
-    return stage.mapInArrow(score, "doc_id long, posterior double, score double").withColumn("keep", F.col("score") >= KEEP)
+    return stage.mapInArrow(lean(score), "doc_id long, posterior double, score double").withColumn("keep", F.col("score") >= KEEP)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabulith.llm.common import id_text
+from tabulith.llm.common import id_text, lean
 
 # The base kinds and their patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -163,4 +163,4 @@ def find_secrets(documents: DataFrame, reach: int | None = None) -> DataFrame:
             cols = [b.column(0).cast(pa.int64()), *(pa.array(got[i], pa.int64()) for i in range(3)), *(pa.array(got[i], pa.string()) for i in (3, 4))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return id_text(documents).mapInArrow(run, SCHEMA)
+    return id_text(documents).mapInArrow(lean(run), SCHEMA)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import WordHashes, id_text, mix64, shingles, staged, words_of
+from tabulith.llm.common import WordHashes, id_text, lean, mix64, shingles, staged, words_of
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -203,7 +203,7 @@ def training_rows(spark: SparkSession, documents: DataFrame, lab: DataFrame, max
             yield pa.RecordBatch.from_arrays([*b.columns, least], names=["doc_id", "text", "toxic", "least"])
 
     # Near copies mostly share their smallest shingle; each pair of label and shingle is learnt from once.
-    rows = rows.mapInArrow(near, "doc_id long, text string, toxic int, least long")
+    rows = rows.mapInArrow(lean(near), "doc_id long, text string, toxic int, least long")
     rows = rows.groupBy("least", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("r"))
     return staged(spark, rows.select("r.doc_id", "r.text", "toxic").repartition(16, "doc_id"), "labelled")
 
@@ -230,7 +230,7 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_per_
     every = {r["toxic"]: r["count"] for r in lab.groupBy("toxic").count().collect()}
     rows = training_rows(spark, documents, lab, max_per_class)
     df = np.zeros((2, BUCKETS), np.int64)
-    for r in rows.select("text", "toxic").mapInArrow(frequencies, "df binary").collect():
+    for r in rows.select("text", "toxic").mapInArrow(lean(frequencies), "df binary").collect():
         df += np.frombuffer(zlib.decompress(bytes(r[0])), np.int32).reshape(2, BUCKETS)
     size = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = informativeness(df[0], df[1], size[1], size[0])
@@ -245,7 +245,7 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_per_
                 packed.append(np.stack([ids[told], times[told]]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2)], names=["doc_id", "buckets", "toxic"])
 
-    got = sorted(((r[0], r[2], bytes(r[1])) for r in rows.mapInArrow(told, "doc_id long, buckets binary, toxic int").collect()))
+    got = sorted(((r[0], r[2], bytes(r[1])) for r in rows.mapInArrow(lean(told), "doc_id long, buckets binary, toxic int").collect()))
     y = np.array([r[1] for r in got], np.float32)
     model = fit([tuple(np.frombuffer(r[2], np.int32).reshape(2, -1)) for r in got], y, share)
     pos, neg = float(y.sum()), float(len(y) - y.sum())
@@ -289,7 +289,7 @@ def score_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame
             s = pa.array(score(b.column(1).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), s], names=["doc_id", "score"])
 
-    rows = id_text(documents).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
+    rows = id_text(documents).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(lean(run), "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -302,4 +302,4 @@ def drop_toxic(spark: SparkSession, documents: DataFrame, labels: DataFrame, max
         for b in batches:
             yield b.filter(pa.array([s < THRESHOLD for s in score(b.column(at).to_pylist())], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
