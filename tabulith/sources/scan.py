@@ -6,7 +6,7 @@ import json
 import math
 import os
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -171,19 +171,36 @@ def schema(spark: SparkSession, path: str, format: str | None = None, **options)
     return scan(spark, path, format, **options).schema
 
 
+def recut(parts: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the parts in batches of `size`, with only the last one smaller."""
+    if size < 1:
+        raise ValueError("a batch has one row at least")
+    held, n = [], 0
+    for b in parts:
+        at = 0
+        while at < b.num_rows:
+            held.append(b.slice(at, size - n))
+            at, n = at + held[-1].num_rows, n + held[-1].num_rows
+            if n == size:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def batches(df: DataFrame, size: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most `size` rows, in the order of the partitions, one partition held at a time."""
+    """Arrow batches of `size` rows, of which only the last has fewer, in the order of the partitions, one partition
+    held at a time. Neither Spark's own batches nor the ends of partitions end a batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for at in range(0, b.num_rows, size):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema) as w:
-                    w.write_batch(b.slice(at, size))
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
-
-    for row in df.mapInArrow(run, "batch binary").toLocalIterator():
-        yield from pa.ipc.open_stream(bytes(row["batch"]))
+        for b in recut(it, size):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+    made = df.mapInArrow(run, "batch binary").toLocalIterator()
+    yield from recut((b for row in made for b in pa.ipc.open_stream(bytes(row["batch"]))), size)
 
 
 def batch_iter(spark: SparkSession, path: str, format: str | None = None, columns: list[str] | None = None, n_rows: int | None = None, batch_size: int = 8192, **options) -> Iterator[pa.RecordBatch]:
