@@ -13,6 +13,7 @@ SAS_DAYS = STATA_DAYS = 3653
 SPSS_SECONDS = 12_219_379_200
 DAY = 86_400
 SAS_LEAST, SAS_MOST = -135_080, 156_935
+SAS_MICROS = 9e18
 # SAS display formats by kind; a format belongs to the first kind with a name it begins with.
 SAS_DATETIME = ("DATETIME", "DTWKDATX", "B8601DN", "B8601DT", "B8601DX", "B8601DZ", "B8601LX", "E8601DN", "E8601DT", "E8601DX", "E8601DZ", "E8601LX", "DATEAMPM", "DTDATE", "DTMONYY", "DTYEAR", "TOD", "MDYAMPM")
 SAS_DATE = (
@@ -31,9 +32,9 @@ def sas_kind(fmt: str | None) -> str | None:
     return None
 
 
-def whole(c: Column) -> Column:
-    """Toward zero, null where it is not finite."""
-    return F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 9e15), F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))).cast("long")
+def whole(c: Column, bound: float = 9e15) -> Column:
+    """Toward zero, null where it is not finite or not within the bound."""
+    return F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < bound), F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))).cast("long")
 
 
 def of_days(days: Column) -> Column:
@@ -45,18 +46,23 @@ def of_micros(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def sas_date(c: Column) -> Column:
-    """Days since 1960; where that is outside the bounds, counted from 1970, the value has seconds."""
+def sas_date(c: Column, fractions: bool = False) -> Column:
+    """Days since 1960; where that is outside the bounds, counted from 1970, the value has seconds.
+
+    Whole days are held against the bounds, as a scan does; with `fractions` the value as it is, so that one
+    past the last day by a part of a day has seconds too.
+    """
     days, seconds = whole(c) - SAS_DAYS, whole(c / DAY) - SAS_DAYS
-    return of_days(F.when(days.between(SAS_LEAST, SAS_MOST), days).otherwise(seconds))
+    held = c - SAS_DAYS if fractions else days
+    return of_days(F.when(held.between(SAS_LEAST, SAS_MOST), days).otherwise(seconds))
 
 
 def sas_datetime(c: Column) -> Column:
-    return of_micros(whole((c - SAS_DAYS * DAY) * 1_000_000))
+    return of_micros(whole((c - SAS_DAYS * DAY) * 1_000_000, SAS_MICROS))
 
 
 def sas_time(c: Column) -> Column:
-    return whole(c * 1_000_000)
+    return whole(c * 1_000_000, SAS_MICROS)
 
 
 def stata_date(c: Column, unit: str = "d") -> Column:

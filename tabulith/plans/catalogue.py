@@ -123,8 +123,9 @@ def decode_labels_float(spark, sf_dir):
 
 
 def temporal_sas(spark, sf_dir):
+    """As in the SQL, the value with its fraction is held against the bounds of dates."""
     c = F.col("l_orderkey").cast("double") + 0.25
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", D.sas_date(c).alias("as_date"), F.date_format(D.sas_datetime(c * 1000), "yyyy-MM-dd HH:mm:ss").alias("as_datetime"), D.sas_time(c).alias("as_time_us"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", D.sas_date(c, fractions=True).alias("as_date"), F.date_format(D.sas_datetime(c * 1000), "yyyy-MM-dd HH:mm:ss").alias("as_datetime"), D.sas_time(c).alias("as_time_us"))
 
 
 def temporal_stata(spark, sf_dir):

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tabulith.formats import sas as S
 from tabulith.formats import sas_write as W
 from tabulith.formats.text import blank_as_null, fixed
-from tabulith.functions.temporal import DAY, SAS_DAYS, SAS_LEAST, SAS_MOST, sas_kind
+from tabulith.functions.temporal import DAY, SAS_DAYS, SAS_LEAST, SAS_MICROS, SAS_MOST, sas_kind
 from tabulith.sources import sink
 from tabulith.sources.base import Options, RecordReader, load, opened, tag_field
 
@@ -135,7 +135,7 @@ def temporal_array(x: np.ndarray, ok: np.ndarray, what: str | None) -> pa.Array:
         ok = ok & (days >= -719162) & (days <= 2932896)  # beyond the calendar there is no date
         return pa.array(np.where(ok, days, 0).astype(np.int32), pa.int32(), mask=~ok).cast(pa.date32())
     micros = np.trunc((x - SAS_DAYS * DAY if what == "datetime" else x) * 1e6)
-    ok = ok & (np.abs(micros) < 9e18)
+    ok = ok & (np.abs(micros) < SAS_MICROS)
     return pa.array(np.where(ok, micros, 0).astype(np.int64), pa.timestamp("us") if what == "datetime" else pa.int64(), mask=~ok)
 
 
